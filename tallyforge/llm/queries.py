@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import conversations
+from tallyforge.llm import conversations, leaks, mixing
 from tallyforge.plans.registry import Registry
 from tallyforge.sources import load
 
@@ -50,3 +51,40 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """The ordered turns of all discussions to keep."""
     return conversations.conversations(*_tables(spark, folder))
+
+
+
+@R.add()
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item."""
+    return leaks.leaks(load(spark, folder, "documents").select("doc_id", "text"), load(spark, folder, "eval_items").select("item_id", "text"))
+
+
+@R.add()
+def p6_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Per leaked item the number of documents that hold a passage of it."""
+    return p6_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
+def _mixed(spark: SparkSession, folder: str, full: bool) -> tuple[DataFrame, DataFrame]:
+    docs = mixing.counted(load(spark, folder, "documents"))
+    total = docs.groupBy().sum("n_tokens").first()[0] or 0
+    return mixing.mixture(docs, load(spark, folder, "mix_targets"), total if full else None)
+
+
+@R.add()
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The chosen documents and their copies, for a total of as many tokens as all documents have."""
+    return _mixed(spark, folder, True)[0]
+
+
+@R.add()
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and reached shares of p7_mixture; caps on repeats show here."""
+    return _mixed(spark, folder, True)[1]
+
+
+@R.add()
+def p7_shares_within_caps(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and reached shares at the largest total at which no cap on repeats bites."""
+    return _mixed(spark, folder, False)[1]
