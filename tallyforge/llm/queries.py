@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import conversations, leaks, mixing
+from tallyforge.llm import conversations, languages, leaks, mixing
 from tallyforge.plans.registry import Registry
 from tallyforge.sources import load
 
@@ -88,3 +88,21 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 def p7_shares_within_caps(spark: SparkSession, folder: str) -> DataFrame:
     """Wanted and reached shares at the largest total at which no cap on repeats bites."""
     return _mixed(spark, folder, False)[1]
+
+
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    documents = load(spark, folder, "documents").select("doc_id", "text", "lang")
+    return languages.segments(documents, *languages.train(documents))
+
+
+@R.add()
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Stretches of documents that are mixed, unlabelled or wrongly labelled."""
+    wrong = F.coalesce(languages.known_label(F.col("label")) != F.col("lang"), F.lit(True))
+    return _segments(spark, folder).where((F.col("n_segs") > 1) | wrong).select("doc_id", "seg_no", "lang")
+
+
+@R.add()
+def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch of every document with its language and confidence."""
+    return _segments(spark, folder)
