@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import conversations, languages, leaks, mixing
+from tallyforge.llm import bitext, conversations, languages, leaks, mixing
 from tallyforge.plans.registry import Registry
+from tallyforge.session import materialize
 from tallyforge.sources import load
 
 R = Registry()
@@ -106,3 +107,23 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Every stretch of every document with its language and confidence."""
     return _segments(spark, folder)
+
+
+def _sentence_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = load(spark, folder, "corrections").where("correction_id is not null")
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}.en").alias("en"), F.col(f"{f}.ru").alias("ru")) for f in ("observation", "correction")])
+    texts = rows.select("correction_id", F.inline(fields)).where("en <> '' and ru <> ''").distinct()
+    texts = materialize(bitext.bilingual(texts))
+    return bitext.alignment(texts, ["correction_id", "field"], bitext.learn(texts))
+
+
+@R.add()
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of sentences of a correction that say the same, wholly or in part."""
+    return _sentence_pairs(spark, folder).select("correction_id", "field", "en_pos", "ru_pos").distinct()
+
+
+@R.add()
+def p2_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pairs with the coverage of the better covered sentence."""
+    return _sentence_pairs(spark, folder).groupBy("correction_id", "field", "en_pos", "ru_pos").agg(F.max("coverage").alias("coverage"))
