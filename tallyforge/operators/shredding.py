@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.session import spread
+
 _MISSING = object()
 COLUMNS = "array<struct<path:string, max_def:int, reps:array<int>, defs:array<int>, vals:array<string>>>"
 
@@ -125,7 +127,7 @@ def shred(df: DataFrame, ids: list[str], column: str, single: Sequence[str] = ()
         for batch in batches:
             yield pd.Series([shred_record(x, one, text, values) for x in batch], dtype=object)
 
-    return df.select(*ids, F.explode(columns(F.col(column))).alias("_c")).select(*ids, "_c.*")
+    return spread(df.select(*ids, column)).select(*ids, F.explode(columns(F.col(column))).alias("_c")).select(*ids, "_c.*")
 
 
 def _positions() -> Column:

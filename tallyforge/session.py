@@ -68,3 +68,9 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.withColumns({c: df[c].cast("string") for c, t in df.dtypes if t == "void"}).write.parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least all cores: a few small files would else keep costly work in a few tasks. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
