@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import bitext, conversations, languages, leaks, mixing
 from tallyforge.plans.registry import Registry
-from tallyforge.session import materialize
+from tallyforge.session import materialize, spread
 from tallyforge.sources import load
 
 R = Registry()
@@ -58,7 +58,7 @@ def p5_conversations(spark: SparkSession, folder: str) -> DataFrame:
 @R.add()
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a passage of an evaluation item."""
-    return leaks.leaks(load(spark, folder, "documents").select("doc_id", "text"), load(spark, folder, "eval_items").select("item_id", "text"))
+    return leaks.leaks(spread(load(spark, folder, "documents").select("doc_id", "text")), load(spark, folder, "eval_items").select("item_id", "text"))
 
 
 @R.add()
@@ -68,7 +68,7 @@ def p6_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, folder: str, full: bool) -> tuple[DataFrame, DataFrame]:
-    docs = mixing.counted(load(spark, folder, "documents"))
+    docs = mixing.counted(spread(load(spark, folder, "documents").select("doc_id", "source", "text")))
     total = docs.groupBy().sum("n_tokens").first()[0] or 0
     return mixing.mixture(docs, load(spark, folder, "mix_targets"), total if full else None)
 
@@ -92,7 +92,7 @@ def p7_shares_within_caps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
-    documents = load(spark, folder, "documents").select("doc_id", "text", "lang")
+    documents = spread(load(spark, folder, "documents").select("doc_id", "text", "lang"))
     return languages.segments(documents, *languages.train(documents))
 
 
@@ -113,7 +113,7 @@ def _sentence_pairs(spark: SparkSession, folder: str) -> DataFrame:
     rows = load(spark, folder, "corrections").where("correction_id is not null")
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}.en").alias("en"), F.col(f"{f}.ru").alias("ru")) for f in ("observation", "correction")])
     texts = rows.select("correction_id", F.inline(fields)).where("en <> '' and ru <> ''").distinct()
-    texts = materialize(bitext.bilingual(texts))
+    texts = materialize(spread(bitext.bilingual(texts)))
     return bitext.alignment(texts, ["correction_id", "field"], bitext.learn(texts))
 
 
