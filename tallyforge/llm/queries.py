@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bitext, conversations, languages, leaks, mixing
+from tallyforge.llm import bitext, conversations, languages, leaks, mixing, pii
 from tallyforge.plans.registry import Registry
 from tallyforge.session import materialize, spread
 from tallyforge.sources import load
@@ -127,3 +127,22 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """The same pairs with the coverage of the better covered sentence."""
     return _sentence_pairs(spark, folder).groupBy("correction_id", "field", "en_pos", "ru_pos").agg(F.max("coverage").alias("coverage"))
+
+
+def _bodies(spark: SparkSession, folder: str) -> DataFrame:
+    issues = load(spark, folder, "issues").select(F.lit("issues").alias("src"), F.col("number").alias("row_id"), "body")
+    comments = load(spark, folder, "comments").select(F.lit("comments").alias("src"), F.col("id").alias("row_id"), "body")
+    return issues.unionByName(comments).where("row_id is not null")
+
+
+@R.add()
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every personal detail in issue and comment texts."""
+    return pii.details(_bodies(spark, folder), ["src", "row_id"]).select("src", "row_id", "kind", "value").distinct()
+
+
+@R.add()
+def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Issue and comment texts with placeholders for personal details."""
+    bodies = _bodies(spark, folder).dropDuplicates(["src", "row_id"])
+    return pii.redact(bodies, ["src", "row_id"], pii.details(bodies, ["src", "row_id"]))
