@@ -1,0 +1,47 @@
+"""Rules over lines of scripts and texts, and their findings."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A rule that one line breaks if it matches the pattern."""
+
+    name: str
+    pattern: str
+
+
+RULES = [
+    Rule("early-reader-pipe", r"\|\s*(head|tail|grep -q)\b"),
+    Rule("shared-temp-path", r"(^|[\s\"'=])/tmp/"),
+    Rule("pipe-to-shell", r"\b(curl|wget)\b[^|]*\|\s*(sudo\s+)?(ba|z)?sh\b"),
+    Rule("privilege", r"\b(sudo|pkexec|doas)\b"),
+    Rule("build-tool", r"\b(make|cargo|npm|pip)\b"),
+]
+
+
+def findings(df: DataFrame, key: str, text: str, rules: list[Rule] = RULES) -> DataFrame:
+    """key, line, rule, snippet for each line and rule it breaks. Null texts have none. No shuffle."""
+    found = F.filter(F.array(*[F.when(F.col("_l").rlike(r.pattern), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+    split = df.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("_p", "_l"))
+    return split.select(key, (F.col("_p") + 1).alias("line"), F.explode(found).alias("rule"), F.trim("_l").alias("snippet"))
+
+
+def with_evidence(found: DataFrame, key: str, first: int = 8) -> DataFrame:
+    """rule, n, evidence: distinct (key, line) places of each rule and the first few in order, as `key:line`.
+
+    Every part of a rule's places (by hash) keeps its own first few before the parts meet, so a hot rule is spread.
+    """
+    places = found.groupBy("rule", key, "line").agg(F.lit(1).alias("_one")).drop("_one")
+    counts = places.groupBy("rule").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64(key, "line"), F.lit(64))
+    order = Window.partitionBy("rule", "_part").orderBy(key, "line")
+    firsts = places.withColumn("_part", part).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= first)
+    top = firsts.groupBy("rule").agg(F.slice(F.sort_array(F.collect_list(F.struct(key, "line"))), 1, first).alias("_t"))
+    text = F.array_join(F.transform("_t", lambda p: F.concat_ws(":", p[key].cast("string"), p["line"].cast("string"))), " ")
+    return counts.join(top, "rule").select("rule", "n", text.alias("evidence"))

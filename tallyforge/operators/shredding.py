@@ -12,6 +12,7 @@ position. Of repeated field names the last one counts.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from tallyforge.session import spread
 
 _MISSING = object()
+_SURROGATE = re.compile("[\ud800-\udfff]")
 COLUMNS = "array<struct<path:string, max_def:int, reps:array<int>, defs:array<int>, vals:array<string>>>"
 
 
@@ -29,7 +31,7 @@ def _text(value) -> str:
     try:
         s.encode()
     except UnicodeEncodeError:  # half of a surrogate pair from an escape
-        s = s.encode("utf-8", "surrogatepass").decode("utf-8", "replace")
+        s = _SURROGATE.sub("\ufffd", s)
     return s
 
 

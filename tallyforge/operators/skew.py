@@ -22,9 +22,9 @@ def hot_values(df: DataFrame, key: str, share: float = 0.02) -> list:
 
     The counts are combined before the shuffle. Null is never hot: it joins with nothing.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__tf_n"))
     total = df.count()
-    rows = counts.where(F.col("_n") > max(1.0, share * total)).select(key).collect() if total else []
+    rows = counts.where(F.col("__tf_n") > max(1.0, share * total)).select(key).collect() if total else []
     return [r[0] for r in rows]
 
 
@@ -43,6 +43,13 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     )
 
 
+def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join in which null keys are equal to each other."""
+    renamed = right.withColumnsRenamed({k: f"__tf_key{i}" for i, k in enumerate(keys)})
+    same = [left[k].eqNullSafe(renamed[f"__tf_key{i}"]) for i, k in enumerate(keys)]
+    return left.join(renamed, same).drop(*[f"__tf_key{i}" for i in range(len(keys))])
+
+
 def hash_rank(df: DataFrame, group: list[str], order: Column, rank: str, buckets: int = 256) -> DataFrame:
     """Number the rows of each group from 1 by a 64-bit hash, splitting every group over buckets of the hash.
 
@@ -50,12 +57,12 @@ def hash_rank(df: DataFrame, group: list[str], order: Column, rank: str, buckets
     sizes of the buckets before give the rank in the whole group; no task sorts a whole group.
     """
     bits = buckets.bit_length() - 1
-    split = df.withColumn("_o", order).withColumn("_b", F.shiftright("_o", 64 - bits))
-    sizes = split.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = split.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_o")))
-    return within.join(offsets, [*group, "_b"]).withColumn(rank, F.col("_before") + F.col("_r")).drop("_o", "_b", "_r", "_before")
+    split = df.withColumn("__tf_o", order).withColumn("__tf_b", F.shiftright("__tf_o", 64 - bits))
+    sizes = split.groupBy(*group, "__tf_b").agg(F.count("*").alias("__tf_n"))
+    before = Window.partitionBy(*group).orderBy("__tf_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__tf_before", F.coalesce(F.sum("__tf_n").over(before), F.lit(0))).drop("__tf_n")
+    within = split.withColumn("__tf_r", F.row_number().over(Window.partitionBy(*group, "__tf_b").orderBy("__tf_o")))
+    return _meet(within, offsets, [*group, "__tf_b"]).withColumn(rank, F.col("__tf_before") + F.col("__tf_r")).drop("__tf_o", "__tf_b", "__tf_r", "__tf_before")
 
 
 def bucketed_sequence(df: DataFrame, group: str, bucket: str, order: list[str], number: str) -> DataFrame:
@@ -63,8 +70,8 @@ def bucketed_sequence(df: DataFrame, group: str, bucket: str, order: list[str],
 
     The same split as hash_rank for orders that are not hashes, for example days of a timestamp.
     """
-    sizes = df.groupBy(group, bucket).agg(F.count("*").alias("_n"))
+    sizes = df.groupBy(group, bucket).agg(F.count("*").alias("__tf_n"))
     before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = df.withColumn("_r", F.row_number().over(Window.partitionBy(group, bucket).orderBy(*order)) - 1)
-    return within.join(offsets, [group, bucket]).withColumn(number, F.col("_before") + F.col("_r")).drop("_r", "_before")
+    offsets = sizes.withColumn("__tf_before", F.coalesce(F.sum("__tf_n").over(before), F.lit(0))).drop("__tf_n")
+    within = df.withColumn("__tf_r", F.row_number().over(Window.partitionBy(group, bucket).orderBy(*order)) - 1)
+    return _meet(within, offsets, [group, bucket]).withColumn(number, F.col("__tf_before") + F.col("__tf_r")).drop("__tf_r", "__tf_before")

@@ -1,10 +1,145 @@
-"""All registries outside the llm subpackage."""
+"""All registries outside the llm subpackage, and the queries on the similarity of parts and on events."""
 
 from __future__ import annotations
 
-from tallyforge.plans import problems
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.functions import text as T
+from tallyforge.operators import chains, similarity, stats, timeline
+from tallyforge.plans import discussions, problems, releases
 from tallyforge.plans.registry import Registry
+from tallyforge.sources import load
+
+R = Registry()
 
 
 def registries() -> list[Registry]:
-    return [problems.R]
+    """All registries of the core."""
+    return [R, releases.R, discussions.R, problems.R]
+
+
+_TEXT = "lower(coalesce(p_name, '') || ' ' || coalesce(p_brand, '') || ' ' || coalesce(p_type, '') || ' ' || cast(p_size as varchar) || 'mm')"
+_CLASSES = f"""
+t as (select p_partkey k, list_sort(list_filter(list_transform(string_split(regexp_replace({_TEXT}, '[^a-z0-9+#.\\-]+', ' ', 'g'), ' '), lambda x: regexp_replace(x, '^[.\\-]+|[.\\-]+$', '', 'g')), lambda x: len(x) > 2)) ts from part),
+c as (select ts, min(k) k from t group by 1),
+tf as (select k, token, count(*) tf from (select k, unnest(ts) token from c) group by 1, 2), d as (select token, count(*) df from tf group by 1), n as (select count(*) n from c),
+raw as (select k, token, (1 + ln(tf)) * ln((n + 1) / (df + 1)) w from tf join d using (token), n),
+v as (select k, token, round(w / sqrt(sum(w * w) over (partition by k)), 12) w from raw where w <> 0),
+s as (select q.k query, m.k "match", round(sum(q.w * m.w), 6) sim from v q join v m using (token) where q.k % 100 = 0 and q.k <> m.k group by 1, 2),
+nb as (select * from (select *, row_number() over (partition by query order by sim desc, "match") place from s where sim >= 0.075) where place <= 4)"""
+
+
+def _part_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """TF-IDF vectors of the classes of parts with equal tokens, under the least key of the class."""
+    words = F.concat_ws(" ", F.coalesce("p_name", F.lit("")), F.coalesce("p_brand", F.lit("")), F.coalesce("p_type", F.lit("")), F.concat(F.col("p_size").cast("string"), F.lit("mm")))
+    tokens = load(spark, folder, "part").select("p_partkey", F.sort_array(similarity.tokens(words)).alias("ts"))
+    classes = tokens.groupBy("ts").agg(F.min("p_partkey").alias("k"))
+    return similarity.vectors(classes, "k", "ts")
+
+
+def _part_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity.neighbours(_part_vectors(spark, folder), "k", F.col("k") % 100 == 0)
+
+
+@R.add(f'with {_CLASSES} select query, "match", sim, place from nb')
+def similar_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The four most similar classes of parts for every class whose key divides by 100, searched against all classes."""
+    return _part_neighbours(spark, folder)
+
+
+@R.add(f'with {_CLASSES} select least(query, "match") a, greatest(query, "match") b, max(round(sim, 4)) weight from nb group by 1, 2')
+def similarity_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The undirected edges of similar_parts."""
+    return similarity.undirected(_part_neighbours(spark, folder))
+
+
+@R.add(f"""
+with {_CLASSES}, e as (select least(query, "match") a, greatest(query, "match") b, max(round(sim, 4)) weight from nb group by 1, 2),
+x as (select a node, weight from e union all select b, weight from e) select node, round(sum(weight), 4) degree from x group by 1""")
+def similarity_degree(spark: SparkSession, folder: str) -> DataFrame:
+    """The weighted degree of every class of parts in the similarity graph."""
+    return similarity.weighted_degree(similarity.undirected(_part_neighbours(spark, folder)))
+
+
+_CLUSTERS = {"round": ["ring", "wheel", "bolt"], "flat": ["plate", "panel", "widget"], "toothed": ["gear", "cog"]}
+_SCORE = {c: " + ".join(f"(case when contains(' ' || lower(p_name) || ' ' || lower(p_type) || ' ', '{w}') then 1 else 0 end + case when contains(lower(p_name), '{w}') then 2.5 else 0 end)" for w in ws) for c, ws in _CLUSTERS.items()}
+
+
+@R.add(f"""
+with s as (select {', '.join(f'{x} as s_{c}' for c, x in _SCORE.items())} from part)
+select case when greatest(s_round, s_flat, s_toothed) = 0 then 'other' when s_round >= s_flat and s_round >= s_toothed then 'round' when s_flat >= s_toothed then 'flat' else 'toothed' end cluster, count(*) n from s group by 1""")
+def keyword_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts by the cluster with the best keyword score; the first one wins ties."""
+    p = load(spark, folder, "part").select("p_name", "p_type")
+    return p.groupBy(similarity.best_cluster(F.concat_ws(" ", "p_name", "p_type"), F.col("p_name"), _CLUSTERS).alias("cluster")).agg(F.count("*").alias("n"))
+
+
+@R.add("""
+with recursive h(k, v, s) as (select p_partkey, cast(0 as bigint), p_name from part union all select k, (v * 31 + ascii(s)) & 4294967295, s[2:] from h where len(s) > 0)
+select k p_partkey, v h, upper(regexp_extract(p_name, '^[^a-zA-Z0-9]*([a-zA-Z0-9])', 1) || regexp_extract(p_name, '^[^a-zA-Z0-9]*[a-zA-Z0-9]+[^a-zA-Z0-9]+([a-zA-Z0-9])', 1)) initials
+from h join part on k = p_partkey where len(s) = 0""")
+def name_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """The 32-bit polynomial hash of part names and their initials."""
+    return load(spark, folder, "part").select("p_partkey", T.hash31(F.col("p_name")).alias("h"), T.initials(F.col("p_name")).alias("initials"))
+
+
+@R.add("select event_type, count(*) n_instances, count(distinct user_id) n_entities from events group by 1")
+def events_and_users(spark: SparkSession, folder: str) -> DataFrame:
+    """Events and distinct users per type."""
+    return stats.instances_and_entities(load(spark, folder, "events").select("event_type", "user_id"), ["event_type"], "user_id")
+
+
+@R.add("""
+select user_id, epoch_us(date_trunc('second', e.ts)) ts_us, max((select count(*) from events x where x.user_id = e.user_id and date_trunc('second', x.ts) between date_trunc('second', e.ts) - interval 1 second and date_trunc('second', e.ts))) n
+from events e group by 1, 2 having n > 1""")
+def ambiguous_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Moments at which a user has more than one event within a second."""
+    found = timeline.ambiguous_moments(load(spark, folder, "events").select("user_id", "ts"), "user_id", "ts")
+    return found.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "n")
+
+
+@R.add("select event_id, event_type, lag(event_type) over w before, epoch_us(lag(ts) over w) before_us from events window w as (partition by user_id order by ts, event_id)")
+def previous_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event with the one before it of the same user."""
+    e = load(spark, folder, "events").select("user_id", "event_id", "event_type", "ts")
+    held = timeline.with_neighbour(e, "user_id", F.to_date("ts"), ["ts", "event_id"], {"event_type": "before", "ts": "before_ts"}, -1)
+    return held.select("event_id", "event_type", "before", F.unix_micros(F.col("before_ts").cast("timestamp")).alias("before_us"))
+
+
+@R.add("select distinct on (user_id) user_id, event_id, event_type from events order by user_id, ts desc, event_id desc")
+def latest_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The last event of each user."""
+    e = load(spark, folder, "events").select("user_id", "event_id", "event_type", "ts")
+    return timeline.latest(e, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@R.add("select distinct on (user_id, event_type) user_id, event_type, event_id from events order by user_id, event_type, ts, event_id")
+def first_event_of_type(spark: SparkSession, folder: str) -> DataFrame:
+    """The first event of each user and type."""
+    e = load(spark, folder, "events")
+    return e.groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@R.add("""
+with o as (select o_orderkey k, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) p, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 depth,
+  first_value(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) root, count(*) over (partition by o_custkey) n from orders)
+select k node, root, depth from o where n > 1""")
+def order_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders of a customer as a linked list: the first order and the distance from it, by pointer doubling."""
+    o = load(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    linked = timeline.with_neighbour(o, "o_custkey", F.year("o_orderdate"), ["o_orderdate", "o_orderkey"], {"o_orderkey": "dst"}, 1)
+    return chains.positions(linked.where("dst is not null").select(F.col("o_orderkey").alias("src"), "dst"))
+
+
+@R.add("""
+select o_orderkey, count(l_orderkey) n_lines, coalesce(string_agg(cast(l_linenumber as varchar), ' ' order by l_linenumber), '') line_numbers, cast(coalesce(sum(cast(l_extendedprice as decimal(14,2)) * (1 - cast(l_discount as decimal(4,2)))), 0) as double) revenue
+from orders left join lineitem on o_orderkey = l_orderkey group by 1""")
+def orders_with_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order with its line items nested: their number, line numbers in order and revenue. Lines are added up before the join."""
+    l = load(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("l_linenumber")), lambda x: x.cast("string")), " ").alias("numbers"),
+        F.sum(F.col("l_extendedprice").cast("decimal(14,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("double").alias("r"),
+    )
+    o = load(spark, folder, "orders").select("o_orderkey")
+    return o.join(l, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce("numbers", F.lit("")).alias("line_numbers"), F.coalesce("r", F.lit(0.0)).alias("revenue"))

@@ -59,7 +59,7 @@ seen as (
         case when l.ref_id is null then 'missing' when l.arrived > a.arrived then 'late' when l.removed <= a.arrived then 'deleted' end kind
     from refs r join arrivals a using (child_table, child_id) left join lives l on l.t = r.t and l.ref_id = r.ref_id
     where r.ref_id <> '')
-select child_table, child_id, field, ref_id, kind, strftime(born, '%Y-%m') period from seen where kind is not null"""
+select child_table, child_id, field, ref_id, kind, strftime(born at time zone 'UTC', '%Y-%m') period from seen where kind is not null"""
 
 
 @R.add(_P3_SQL)
