@@ -58,9 +58,8 @@ def close_budget(available: dict[int, int], taken: dict[int, int], rest: int, wi
             rest -= k * n
     if not rest:
         return 0
-    goal = min(window, 4 * max(available))
-    for n in sorted((n for n in taken if n <= goal // 2), reverse=True):
-        back = min(taken[n], max(0, goal - rest) // n)
+    for n in sorted((n for n in taken if n <= window), reverse=True):
+        back = min(taken[n], max(0, window - rest) // n)
         taken[n] -= back
         rest += back * n
     mask, sums, steps = (1 << (rest + 1)) - 1, 1, []

@@ -40,7 +40,7 @@ rail ring shelf strip tile mini plus badge board der die das ein eine el la los
 """.split())
 GREETINGS = {"hi", "hello", "dear", "hey", "thanks", "hallo", "hola", "bonjour", "привет", "уважением", "regards", "cheers"}
 
-_AT = r"(?:@|＠|&#64;|\s?[(\[{]\s?(?:at|@)\s?[)\]}]\s?| AT | at (?=[\w-]+ (?:dot|DOT) ))"
+_AT = r"(?:@|＠|&#64;|\s?[(\[{]\s?(?:at|@)\s?[)\]}]\s?|(?-i: AT )(?=[\w-]+(?: DOT |\.))|(?-i: at )(?=[\w-]+ dot ))"
 _DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|\.)\s?[)\]}]\s?| DOT | dot )"
 _EMAIL = re.compile(rf"(?<![\w.+%@-])[A-Za-z0-9][\w.+%-]*{_AT}(?:[A-Za-z0-9-]+{_DOT})+[A-Za-z]{{2,24}}(?![\w-])", re.A | re.I)
 _EMAIL_HINT = re.compile(r"[@＠]|&#64;|\bat\b", re.I)
