@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm import pii_spans as ps
 from tallyforge.session import materialize, spread
 
-#: Candidates of which the classifier is fitted at most, and slots of its hashed features.
+#: Candidates of which the classifier is fitted, about, and slots of its hashed features. Smaller inputs are taken whole.
 TRAIN_CANDIDATES = 20_000
 SLOTS = 1 << 13
 #: How sure prior knowledge of the labelers is, as a part of all candidates of a kind.
@@ -100,7 +100,9 @@ def train(spans: DataFrame) -> Model:
     for kind, votes, n in each.groupBy("kind", "votes").count().collect():
         counts.setdefault(kind, {})[tuple(map(int, votes.split(",")))] = n
     patterns = {kind: reliabilities(c) for kind, c in counts.items()}
-    sample = each.select("kind", "votes", "feats", F.xxhash64("value", "votes", "start").alias("_h")).orderBy("_h").limit(TRAIN_CANDIDATES).collect()
+    part = min(1.0, TRAIN_CANDIDATES / max(1, sum(n for c in counts.values() for n in c.values())))
+    by_hash = F.pmod(F.xxhash64("value", "votes", "start"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))
+    sample = each.where(by_hash).select("kind", "votes", "feats").collect()
     if not sample:
         return Model(np.zeros(SLOTS + 1), patterns)
     target = np.array([patterns[r.kind][tuple(map(int, r.votes.split(",")))] for r in sample])
