@@ -46,3 +46,39 @@ def sentence(text: Column, limit: int = 500) -> Column:
     """One line of text of at most limit characters that ends in a full stop, question or exclamation mark."""
     line = F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, limit)
     return F.when(line.rlike(r"[.!?]$"), line).otherwise(F.concat(line, F.lit(".")))
+
+
+def code_blocks(text: Column) -> Column:
+    """language and code of every fenced block of a text, in order; an unclosed fence has no block."""
+    fence = r"(?s)(?:^|\n)```([A-Za-z0-9+#-]*)[^\n]*\n(.*?)\n```"
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(fence), F.lit(1)).alias("language"), F.regexp_extract_all(text, F.lit(fence), F.lit(2)).alias("code"))
+
+
+def checklist(text: Column) -> Column:
+    """How many items of a Markdown checklist are ticked and how many there are."""
+    items = F.regexp_extract_all(text, F.lit(r"(?m)^\s*[-*] \[([ xX])\]"), F.lit(1))
+    return F.struct(F.size(F.filter(items, lambda x: F.lower(x) == "x")).alias("done"), F.size(items).alias("all"))
+
+
+def tags(raw: Column, aliases: dict[str, str | None], most: int = 3) -> Column:
+    """At most `most` distinct tags in their order, in lower case with dashes; aliases rename tags, an alias of None drops one."""
+    plain = F.filter(F.transform(raw, lambda t: F.regexp_replace(F.regexp_replace(F.lower(F.trim(t)), r"[\s_]+", "-"), r"[^a-z0-9-]", "")), lambda t: t != "")
+    if aliases:
+        names = F.create_map(*[F.lit(x) for k, v in aliases.items() for x in (k, v or "")])
+        plain = F.filter(F.transform(plain, lambda t: F.coalesce(F.try_element_at(names, t), t)), lambda t: t != "")
+    return F.slice(F.array_distinct(plain), 1, most)
+
+
+def full_trim(text: Column) -> Column:
+    """Text without white space of any script, line ends and byte-order marks at either end."""
+    return F.regexp_replace(text, "(?U)^[\\s\ufeff&&[^\u0085]]+|[\\s\ufeff&&[^\u0085]]+$", "")
+
+
+def path_segments(path: Column) -> Column:
+    """A path with every segment percent-encoded, slashes kept and spaces as %20."""
+    return F.array_join(F.transform(F.split(path, "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))), "/")
+
+
+def unfenced(text: Column) -> Column:
+    """Text without one code fence around it."""
+    return F.regexp_replace(F.trim(text), r"(?s)^```[a-z]*\s*\n(.*?)\n?```$", "$1")

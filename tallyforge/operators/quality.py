@@ -51,3 +51,12 @@ def violations(df: DataFrame, table: str, key: Column, checks: dict[str, Column]
     """table_name, key, check of every row that breaks a check. checks: name to a condition that must hold; null breaks it."""
     failed = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]), lambda x: x.isNotNull())
     return df.select(F.lit(table).alias("table_name"), key.alias("key"), F.explode(failed).alias("check"))
+
+
+def not_bijective(df: DataFrame, a: str, b: str) -> DataFrame:
+    """side, value, n of values of a with several b (`a`) and of b with several a (`b`). Rows with a null on either side count for neither."""
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b).distinct()
+    def several(x: str, side: str) -> DataFrame:
+        return pairs.groupBy(F.col(x).cast("string").alias("value")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(side).alias("side"), "value", "n")
+
+    return several(a, "a").unionByName(several(b, "b"))

@@ -73,3 +73,10 @@ def best_cluster(text: Column, name: Column, clusters: dict[str, Sequence[str]])
         scores.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(cluster).alias("cluster")))
     best = F.array_max(F.array(*scores))
     return F.when(best["score"] > 0, best["cluster"]).otherwise("other")
+
+
+def influence(degrees: DataFrame, nodes: DataFrame, node: str, stars: str) -> DataFrame:
+    """node, influence: 4 x weighted degree + 2.4 x log2(stars + 1); nodes without an edge have degree 0, null stars count 0."""
+    degree = F.coalesce("degree", F.lit(0.0))
+    popular = F.log2(F.coalesce(F.col(stars), F.lit(0)) + 1)
+    return nodes.join(degrees.withColumnRenamed("node", node), node, "left").select(F.col(node).alias("node"), F.round(4 * degree + 2.4 * popular, 4).alias("influence"))

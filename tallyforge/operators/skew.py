@@ -75,3 +75,15 @@ def bucketed_sequence(df: DataFrame, group: str, bucket: str, order: list[str],
     offsets = sizes.withColumn("__tf_before", F.coalesce(F.sum("__tf_n").over(before), F.lit(0))).drop("__tf_n")
     within = df.withColumn("__tf_r", F.row_number().over(Window.partitionBy(group, bucket).orderBy(*order)) - 1)
     return _meet(within, offsets, [group, bucket]).withColumn(number, F.col("__tf_before") + F.col("__tf_r")).drop("__tf_r", "__tf_before")
+
+
+def first_rows(df: DataFrame, group: str, order: list[str], k: int, parts: int = 32) -> DataFrame:
+    """The first k rows of each group by order, which must be unique within it, with their place from 1 in column place.
+
+    Every part of a group (by hash of the order) keeps its own first k before the parts meet, so k x parts rows a group are
+    all that one task ranks.
+    """
+    split = df.withColumn("__tf_p", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    own = F.row_number().over(Window.partitionBy(group, "__tf_p").orderBy(*order))
+    few = split.withColumn("__tf_r", own).where(F.col("__tf_r") <= k).drop("__tf_r", "__tf_p")
+    return few.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= k)

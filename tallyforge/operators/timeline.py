@@ -66,3 +66,20 @@ def ambiguous_moments(df: DataFrame, group: str, ts: str, seconds: int = 1) -> D
     spread = counts.select(group, F.explode(F.sequence(F.col("ts"), F.col("ts") + F.expr(f"interval {seconds} seconds"), F.expr("interval 1 second"))).alias("ts"), "n", F.col("ts").alias("_from"))
     near = spread.groupBy(group, "ts").agg(F.sum("n").alias("n"), F.max(F.when(F.col("_from") == F.col("ts"), 1)).alias("_own"))
     return near.where("_own = 1 and n > 1").select(group, "ts", "n")
+
+
+def since_change(df: DataFrame, group: str, ts: str, id: str, value: str, bucket: Column) -> DataFrame:
+    """df with changed_at: the time of the row since which value has been the same in its group, by (ts, id).
+
+    Nulls are a value of their own. bucket is a coarse part of ts; running values stay within a bucket, and one row a
+    bucket carries on what was before, so no task holds a whole group.
+    """
+    b = "__tf_bucket"
+    before = with_neighbour(df, group, bucket, [ts, id], {value: "__tf_old", id: "__tf_old_id"}, -1).withColumn(b, bucket)
+    moved = F.when(F.col("__tf_old_id").isNull() | ~F.col("__tf_old").eqNullSafe(F.col(value)), F.col(ts))
+    rows = before.withColumn("__tf_moved", moved)
+    within = Window.partitionBy(group, b).orderBy(ts, id).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(group, b).agg(F.max("__tf_moved").alias("__tf_last")).withColumn("__tf_far", F.max("__tf_last").over(earlier)).drop("__tf_last")
+    near = rows.withColumn("__tf_near", F.max("__tf_moved").over(within))
+    return near.join(carried, [group, b]).withColumn("changed_at", F.coalesce("__tf_near", "__tf_far")).select(*df.columns, "changed_at")

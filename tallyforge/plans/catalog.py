@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
-from tallyforge.operators import chains, similarity, stats, timeline
+from tallyforge.operators import chains, similarity, skew, stats, timeline
 from tallyforge.plans import discussions, problems, releases
 from tallyforge.plans.registry import Registry
 from tallyforge.sources import load
@@ -143,3 +143,30 @@ def orders_with_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
     o = load(spark, folder, "orders").select("o_orderkey")
     return o.join(l, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce("numbers", F.lit("")).alias("line_numbers"), F.coalesce("r", F.lit(0.0)).alias("revenue"))
+
+
+@R.add(f"""
+with {_CLASSES}, e as (select least(query, "match") a, greatest(query, "match") b, max(round(sim, 4)) weight from nb group by 1, 2),
+x as (select a node, weight from e union all select b, weight from e), g as (select node, round(sum(weight), 4) degree from x group by 1)
+select p_partkey node, round(4 * coalesce(degree, 0) + 2.4 * log2(coalesce(p_size, 0) + 1), 4) influence from part left join g on node = p_partkey""")
+def part_influence(spark: SparkSession, folder: str) -> DataFrame:
+    """The influence of every part: its degree in the similarity graph and its size on a log scale."""
+    degrees = similarity.weighted_degree(similarity.undirected(_part_neighbours(spark, folder)))
+    return similarity.influence(degrees, load(spark, folder, "part").select("p_partkey", "p_size"), "p_partkey", "p_size")
+
+
+@R.add("""
+with m as (select *, case when lag(o_orderkey) over w is null or lag(o_orderstatus) over w is distinct from o_orderstatus then o_orderdate end moved from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey))
+select o_orderkey, epoch_us(max(moved) over (partition by o_custkey order by o_orderdate, o_orderkey)) changed_us from m""")
+def status_since(spark: SparkSession, folder: str) -> DataFrame:
+    """For each order the time since which its customer's orders have had the same status."""
+    o = load(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
+    held = timeline.since_change(o, "o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", F.year("o_orderdate"))
+    return held.select("o_orderkey", F.unix_micros(F.col("changed_at").cast("timestamp")).alias("changed_us"))
+
+
+@R.add("select event_type, event_id, place from (select event_type, event_id, row_number() over (partition by event_type order by ts, event_id) place from events) where place <= 25")
+def first_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 25 events of each type."""
+    e = load(spark, folder, "events").select("event_type", "ts", "event_id")
+    return skew.first_rows(e, "event_type", ["ts", "event_id"], 25).select("event_type", "event_id", "place")

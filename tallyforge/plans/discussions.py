@@ -142,8 +142,7 @@ from {_ISSUES} i left join s on s.issue_number = i.number group by 1""")
 def issues_with_comments(spark: SparkSession, folder: str) -> DataFrame:
     """Every issue with the number of its comments and the first three, by aggregates of bounded size."""
     ids = _comments(spark, folder, "issue_number").where("issue_number > 0")
-    parts = ids.groupBy("issue_number", F.pmod(F.xxhash64("id"), F.lit(32)).alias("_p")).agg(F.count("*").alias("n"), *[F.min("id").alias("_a")])
-    counts = parts.groupBy("issue_number").agg(F.sum("n").alias("n_comments"))
+    counts = ids.groupBy("issue_number").agg(F.count("*").alias("n_comments"))
     firsts = _first_ids(ids, 3)
     i = _issues(spark, folder).withColumnRenamed("number", "issue_number")
     joined = i.join(counts, "issue_number", "left").join(firsts, "issue_number", "left")
@@ -151,13 +150,9 @@ def issues_with_comments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _first_ids(ids: DataFrame, k: int) -> DataFrame:
-    """The k least ids of each issue as text: parts of a thread keep their own k least before they meet."""
-    from pyspark.sql import Window
-
-    part = ids.withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(32)))
-    least = part.withColumn("_r", F.row_number().over(Window.partitionBy("issue_number", "_p").orderBy("id"))).where(F.col("_r") <= k)
-    text = F.array_join(F.transform(F.slice(F.sort_array(F.collect_list("id")), 1, k), lambda x: x.cast("string")), " ")
-    return least.groupBy("issue_number").agg(text.alias("first_ids"))
+    """The k least ids of each issue as text."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), " ")
+    return skew.first_rows(ids, "issue_number", ["id"], k).groupBy("issue_number").agg(text.alias("first_ids"))
 
 
 _CHUNK = 500
@@ -200,3 +195,16 @@ def strict_json_faults(spark: SparkSession, folder: str) -> DataFrame:
     """Raw records of issues and comments that strict reading rejects, by fault."""
     raw = load(spark, folder, "issues").select(F.lit("issues").alias("src"), "raw_json").unionByName(load(spark, folder, "comments").select(F.lit("comments").alias("src"), "raw_json"))
     return spread(raw).select("src", json_fault(F.col("raw_json")).alias("fault")).where("fault is not null").groupBy("src", "fault").agg(F.count("*").alias("n"))
+
+
+_FENCE = r"(?s)(?:^|\n)```([A-Za-z0-9+#-]*)[^\n]*\n(.*?)\n```"
+
+
+@R.add(f"""
+with b as (select body from {_COMMENTS}), l as (select unnest(regexp_extract_all(body, '{_FENCE}', 1)) "language" from b), c as (select unnest(regexp_extract_all(body, '{_FENCE}', 2)) code from b)
+select "language", count(*) n, (select cast(sum(len(code)) as bigint) from c) total_chars from l group by 1""")
+def code_block_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Fenced code blocks of comments by language, with the characters of all of them."""
+    blocks = _comments(spark, folder, T.code_blocks(F.col("body")).alias("blocks")).select(F.inline("blocks"))
+    counts = blocks.groupBy("language").agg(F.count("*").alias("n"), F.sum(F.length("code")).alias("_chars"))
+    return counts.join(F.broadcast(counts.agg(F.sum("_chars").alias("total_chars")))).drop("_chars")

@@ -265,3 +265,11 @@ def source_manifests(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.sort_array(F.transform(files, lambda f: F.concat(F.coalesce(f["sha256"], F.lit("")), F.lit("  "), F.coalesce(f["path"], F.lit(""))))), "\n"), 256).alias("digest"),
     )
     return latest(s, "source_id", ["loaded_at"]).drop("loaded_at")
+
+
+@R.add("""
+with p as (select distinct record_id a, record_key b from plugins where record_id is not null and record_key is not null)
+select 'a' side, a as value, count(*) n from p group by 2 having count(*) > 1 union all select 'b', b, count(*) from p group by 2 having count(*) > 1""")
+def record_keys_not_bijective(spark: SparkSession, folder: str) -> DataFrame:
+    """Record ids with several record keys and record keys of several records."""
+    return quality.not_bijective(load(spark, folder, "plugins"), "record_id", "record_key")

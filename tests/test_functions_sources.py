@@ -32,6 +32,17 @@ def test_text_functions(spark):
     assert one(spark, T.payload(F.col("c0"), "m:v1"), "nothing") is None
 
 
+def test_markdown_functions(spark):
+    blocks = spark.createDataFrame([("a\n```sh\nls\npwd\n```\n```\nx\n```\n```py\nopen",), (None,)], "c0 string").select(T.code_blocks(F.col("c0"))).collect()
+    assert [(b.language, b.code) for b in blocks[0][0]] == [("sh", "ls\npwd"), ("", "x")]
+    assert tuple(one(spark, T.checklist(F.col("c0")), "- [x] a\n* [ ] b\n- [X] c")) == (2, 3)
+    tags = T.tags(F.split("c0", ","), {"menu-bar": "bar", "junk": None})
+    assert one(spark, tags, " Menu Bar,bar,junk,Two_Words,é!,x,y") == ["bar", "two-words", "x"]
+    assert one(spark, T.full_trim(F.col("c0")), "\ufeff\u00a0 a\u0085 \n") == "a\u0085"
+    assert one(spark, T.path_segments(F.col("c0")), "a b/c&d/e") == "a%20b/c%26d/e"
+    assert one(spark, T.unfenced(F.col("c0")), "```json\n{}\n```") == "{}"
+
+
 def test_strict_json():
     assert fault('{"a": 1.5}') is None
     cases = {"": "blank", None: "blank", '{"a": 1, "a": 2}': "repeated name", '{"a": NaN}': "not finite", '{"a": 1e400}': "not finite", "[1]": "no object", '{"a": 1} x': "syntax"}

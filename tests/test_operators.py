@@ -145,3 +145,18 @@ def test_chains(spark):
     got = {r.node: (r.root, r.depth) for r in chains.positions(edges).collect()}
     assert all(got[i] == (1, i - 1) for i in range(1, 41)) and got[100] == (None, None)
     assert rowset(chains.faults(spark.createDataFrame([(1, 2), (1, 3), (4, 3)], "src int, dst int"))) == {(1, "branch"), (3, "merge")}
+
+
+def test_first_rows_and_changes(spark):
+    df = spark.range(300).select(F.lit("hot").alias("g"), "id", F.lit(datetime(2026, 1, 1)).alias("ts"), F.floor(F.col("id") / 100).alias("v"))
+    assert [r.id for r in skew.first_rows(df, "g", ["id"], 5).orderBy("place").collect()] == [0, 1, 2, 3, 4]
+    timed = df.withColumn("ts", F.expr("timestamp '2026-01-01' + make_interval(0, 0, 0, 0, int(id), 0, 0)"))
+    got = {r.id: r.changed_at for r in timeline.since_change(timed, "g", "ts", "id", "v", F.to_date("ts")).collect()}
+    assert all(got[i] == datetime(2026, 1, 1) + timedelta(hours=i // 100 * 100) for i in range(300))
+
+
+def test_bijection_and_influence(spark):
+    df = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "2"), ("c", None)], "x string, y string")
+    assert rowset(quality.not_bijective(df, "x", "y")) == {("a", "a", 2), ("b", "2", 2)}
+    nodes, degrees = spark.createDataFrame([(1, 3), (2, None)], "n int, s int"), spark.createDataFrame([(1, 0.5)], "node int, degree double")
+    assert rowset(similarity.influence(degrees, nodes, "n", "s")) == {(1, 6.8), (2, 0.0)}
