@@ -113,10 +113,6 @@ def evidence_versions(spark: SparkSession, folder: str) -> DataFrame:
     return quality.duplicate_keys(e, "evidence_id", ["evidence_id"])
 
 
-def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    array = dict(df.dtypes)[b].startswith("array") if b in df.columns else True
-    return df.select(F.col(a).alias("a"), (F.explode(b) if array else F.col(b)).alias("b"))
-
 
 @R.add("""
 with f as (select distinct record_id a, unnest(evidence_ids) b from plugins), r as (select distinct record_id a, evidence_id b from evidence),
