@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators.skew import broadcast_if_small, bucketed_sequence, lookup_join
+from tallyforge.session import materialize
 
 _DATE_TIME = r"^\s*(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2})(:\d{2}(?:\.\d{1,9})?)?\s*([Zz]|[+-]\d{2}(?::?\d{2})?)?\s*$"
 
@@ -94,11 +95,11 @@ def conversations(comments: DataFrame, issues: DataFrame, accounts: DataFrame) -
     role is `bot`, `maintainer`, `author` (who opened the issue) or `contributor`; nobody's turns are a contributor's.
     Turns are numbered per discussion over days, so that a hot discussion is spread.
     """
-    turn = turns(comments, accounts)
-    kept = verdicts(turn, openers(issues)).where("reason is null").select("issue_number", "opener")
+    turn = materialize(turns(comments, accounts))
+    kept = materialize(verdicts(turn, openers(issues)).where("reason is null").select("issue_number", "opener"))
     roles = accounts.select(login(F.col("login")).alias("speaker"), F.lower("role").alias("_role")).groupBy("speaker").agg(F.min("_role").alias("_role"))
     dated = lookup_join(turn.where("has_text"), kept, "issue_number", "inner")
-    dated = dated.join(broadcast_if_small(roles), "speaker", "left").withColumn("_day", F.to_date("at"))
+    dated = materialize(dated.join(broadcast_if_small(roles), "speaker", "left").withColumn("_day", F.to_date("at")))
     numbered = bucketed_sequence(dated, "issue_number", "_day", ["at", "id"], "turn_no")
     role = F.coalesce("_role", F.when(F.col("speaker") == F.col("opener"), "author"), F.lit("contributor"))
     bodies = fold(comments.select("id", "body", "fetched_at"), "id", "fetched_at").drop("fetched_at")
