@@ -10,7 +10,7 @@ from tallyforge.functions.strict_json import json_fault
 from tallyforge.operators import resolve, rules, skew, stats
 from tallyforge.operators.timeline import latest
 from tallyforge.plans.registry import Registry
-from tallyforge.session import spread
+from tallyforge.session import materialize, spread
 from tallyforge.sources import load
 
 R = Registry()
@@ -105,7 +105,7 @@ def first_fix_after_blocker(spark: SparkSession, folder: str) -> DataFrame:
     ts = F.col("created_at").try_cast("timestamp").alias("ts")
     c = _comments(spark, folder, "issue_number", ts, F.lower("user").alias("u"), F.coalesce(F.col("body").rlike(_ASK), F.lit(False)).alias("ask"), F.coalesce(F.col("body").rlike(_FIX), F.lit(False)).alias("fix"))
     i = _issues(spark, folder, F.lower("user").alias("opener")).withColumnRenamed("number", "issue_number")
-    e = skew.lookup_join(c.where("issue_number > 0 and ts is not null"), i, "issue_number", "inner")
+    e = materialize(skew.lookup_join(materialize(c.where("issue_number > 0 and ts is not null")), i, "issue_number", "inner"))
     answers = F.coalesce(F.col("fix") & (F.col("u") == F.col("opener")), F.lit(False))
     found = resolve.first_after(e, "issue_number", "ts", "id", F.col("ask"), answers, F.to_date("ts"))
     return found.select("issue_number", "id", F.unix_micros("answer_ts").alias("answer_us"))
