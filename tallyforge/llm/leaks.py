@@ -46,21 +46,42 @@ def prefix_positions(frequency: list[int], n: int = SHINGLE, least: int = LEAST_
     return sorted(chosen)
 
 
-def holds(item: list[str], document: list[str], shift: int, least: int = LEAST_WORDS, tolerance: int = TOLERANCE) -> bool:
+def holds(item: np.ndarray, document: np.ndarray, shift: int, least: int = LEAST_WORDS, tolerance: int = TOLERANCE) -> bool:
     """Whether a long enough window of the item stands in the document at positions shifted by shift."""
     lo, hi = max(0, -shift), min(len(item), len(document) - shift)
     if hi - lo < least:
         return False
-    other = np.fromiter((item[i] != document[i + shift] for i in range(lo, hi)), bool, hi - lo)
+    other = item[lo:hi] != document[lo + shift : hi + shift]
     sums = np.concatenate([[0], np.cumsum(1 - tolerance * other.astype(np.int64))])
     return bool((sums[least:] >= np.minimum.accumulate(sums[: len(sums) - least])).any())
 
 
+def leaked(item: list[str], document: list[str], places: list[tuple[list[int], list[int]]], least: int = LEAST_WORDS, tolerance: int = TOLERANCE) -> bool:
+    """Whether the document holds a window of the item at a shift that some shared shingle proposes.
+
+    places: for each shared shingle its positions in the document and in the item. Shingles with the fewest shifts are
+    tried first, every shift once, up to the first that holds.
+    """
+    number: dict[str, int] = {}
+    a = np.array([number.setdefault(w, len(number)) for w in item])
+    b = np.array([number.get(w, -1) for w in document])
+    tried: set[int] = set()
+    for at, i_at in sorted(places, key=lambda p: len(p[0]) * len(p[1])):
+        for i in i_at:
+            for d in at:
+                if d - i not in tried:
+                    tried.add(d - i)
+                    if holds(a, b, d - i, least, tolerance):
+                        return True
+    return False
+
+
 def matches(documents: DataFrame, shingle_ids: DataFrame, n: int = SHINGLE, least: int = LEAST_WORDS) -> DataFrame:
-    """Every place of a document of least words or more where a given shingle h stands: doc_id, n_words, at, h."""
+    """doc_id, n_words, h, ats: the places of every given shingle h in each document of least words or more."""
     worded = documents.select("doc_id", word_array(F.col("text")).alias("w")).where(F.size("w") >= least)
     placed = worded.select("doc_id", F.size("w").alias("n_words"), F.posexplode(shingles(F.col("w"), n)).alias("at", "h"))
-    return placed.join(broadcast_if_small(shingle_ids), "h")
+    hit = placed.join(broadcast_if_small(shingle_ids), "h")
+    return hit.groupBy("doc_id", "n_words", "h").agg(F.sort_array(F.collect_list("at")).alias("ats"))
 
 
 def leaks(documents: DataFrame, items: DataFrame, n: int = SHINGLE, least: int = LEAST_WORDS, tolerance: int = TOLERANCE) -> DataFrame:
@@ -72,30 +93,32 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = SHINGLE, least: int =
     of_items = worded.select("item_id", F.size("iw").alias("i_words"), F.posexplode(shingles(F.col("iw"), n)).alias("i_at", "h"))
     found = materialize(matches(documents.where("text is not null"), of_items.select("h").distinct(), n, least))
     # rarity over the whole corpus
-    rarity = found.groupBy("h").agg(F.count_distinct("doc_id").alias("df"))
+    rarity = found.groupBy("h").agg(F.count("*").alias("df"))
     ranked = of_items.join(broadcast_if_small(rarity), "h", "left").fillna(0, ["df"])
 
     def prefix(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("i_at")
         return rows.iloc[prefix_positions(rows.df.tolist(), n, least, tolerance)][["item_id", "i_words", "i_at", "h"]]
 
-    prefixes = materialize(ranked.groupBy("item_id").applyInPandas(prefix, "item_id bigint, i_words int, i_at int, h bigint"))
-    shift = F.col("at") - F.col("i_at")
+    prefixes = ranked.groupBy("item_id").applyInPandas(prefix, "item_id bigint, i_words int, i_at int, h bigint")
+    prefixes = materialize(prefixes.groupBy("item_id", "i_words", "h").agg(F.sort_array(F.collect_list("i_at")).alias("i_ats")))
+    # the most words that item and document can have beside each other at any shift that the shingle allows
+    lowest, highest = F.array_min("ats") - F.array_max("i_ats"), F.array_max("ats") - F.array_min("i_ats")
+    shift = F.least(F.greatest(lowest, F.least(F.lit(0), F.col("n_words") - F.col("i_words"))), highest)
     room = F.least(F.col("i_words"), F.col("n_words") - shift) - F.greatest(F.lit(0), -shift)
-    candidates = (
-        found.join(broadcast_if_small(prefixes), "h")
-        .where(room >= least)
-        .select("item_id", "doc_id", shift.alias("shift")).distinct()
+    candidates = materialize(
+        found.join(broadcast_if_small(prefixes), "h").where(room >= least)
+        .groupBy("item_id", "doc_id").agg(F.collect_list(F.struct("ats", "i_ats")).alias("places"))
     )
-    candidates = materialize(candidates)
     suspects = broadcast_if_small(candidates.select("doc_id").distinct())
     texts = documents.join(suspects, "doc_id", "left_semi").select("doc_id", word_array(F.col("text")).alias("dw"))
 
-    def verify(item: pd.Series, document: pd.Series, shift: pd.Series) -> pd.Series:
-        return pd.Series([holds(list(i), list(d), s, least, tolerance) for i, d, s in zip(item, document, shift, strict=True)])
+    def verify(item: pd.Series, document: pd.Series, places: pd.Series) -> pd.Series:
+        rows = zip(item, document, places, strict=True)
+        return pd.Series([leaked(list(i), list(d), [(p["ats"], p["i_ats"]) for p in ps], least, tolerance) for i, d, ps in rows])
 
     checked = (
         candidates.join(texts, "doc_id").join(broadcast_if_small(worded), "item_id")
-        .where(F.pandas_udf(verify, "boolean")("iw", "dw", "shift"))
+        .where(F.pandas_udf(verify, "boolean")("iw", "dw", "places"))
     )
     return checked.select("item_id", "doc_id").distinct()

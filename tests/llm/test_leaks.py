@@ -56,6 +56,12 @@ def test_every_window_has_a_prefix():
     assert leaks.prefix_positions([1] * 10) == []
 
 
+def test_one_word_over_and_over(spark):
+    docs = spark.createDataFrame([(1, "word " * 20_000), (2, "word " * 19), (3, "word other " * 10_000)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "word " * 5_000)], "item_id bigint, text string")
+    assert [tuple(r) for r in leaks.leaks(docs, items).collect()] == [(7, 1)]
+
+
 def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert leaks.leaks(docs, items).count() == 0
