@@ -32,18 +32,21 @@ def prefix_positions(frequency: list[int], n: int = SHINGLE, least: int = LEAST_
     least length have no window.
     """
     length = len(frequency) + n - 1
-    order = sorted(range(len(frequency)), key=lambda i: (frequency[i], -i))
-    rank = {p: r for r, p in enumerate(order)}
-    chosen: set[int] = set()
+    rank = np.empty(len(frequency), np.int64)
+    rank[sorted(range(len(frequency)), key=lambda i: (frequency[i], -i))] = np.arange(len(frequency))
+    chosen = np.zeros(len(frequency), bool)
     for w in range(least, min(length, 2 * least - 1) + 1):
         size = w - n + 1
         shared = size - n * (w // tolerance)
         if shared < 1:
             raise ValueError("a window may share no shingle: take shorter shingles or a smaller tolerance")
-        for start in range(length - w + 1):
-            window = sorted(range(start, start + size), key=rank.__getitem__)
-            chosen.update(window[: size - shared + 1])
-    return sorted(chosen)
+        keep = size - shared + 1
+        windows = np.lib.stride_tricks.sliding_window_view(rank, size)
+        for start in range(0, len(windows), 50_000):
+            part = windows[start : start + 50_000]
+            rarest = np.argpartition(part, keep - 1, axis=1)[:, :keep]
+            chosen[(rarest + np.arange(start, start + len(part))[:, None]).ravel()] = True
+    return np.flatnonzero(chosen).tolist()
 
 
 def holds(item: np.ndarray, document: np.ndarray, shift: int, least: int = LEAST_WORDS, tolerance: int = TOLERANCE) -> bool:
