@@ -63,19 +63,20 @@ def leaked(item: list[str], document: list[str], places: list[tuple[list[int], l
     """Whether the document holds a window of the item at a shift that some shared shingle proposes.
 
     places: for each shared shingle its positions in the document and in the item. Shingles with the fewest shifts are
-    tried first, every shift once, up to the first that holds.
+    tried first, every shift once, up to the first that holds. Where a shingle repeats so often that its places outnumber the
+    shifts between them, all those shifts are tried.
     """
     number: dict[str, int] = {}
     a = np.array([number.setdefault(w, len(number)) for w in item])
     b = np.array([number.get(w, -1) for w in document])
     tried: set[int] = set()
     for at, i_at in sorted(places, key=lambda p: len(p[0]) * len(p[1])):
-        for i in i_at:
-            for d in at:
-                if d - i not in tried:
-                    tried.add(d - i)
-                    if holds(a, b, d - i, least, tolerance):
-                        return True
+        every = range(int(min(at)) - int(max(i_at)), int(max(at)) - int(min(i_at)) + 1)
+        for shift in every if len(at) * len(i_at) > len(every) else (int(d) - int(i) for i in i_at for d in at):
+            if shift not in tried:
+                tried.add(shift)
+                if holds(a, b, shift, least, tolerance):
+                    return True
     return False
 
 
