@@ -148,16 +148,31 @@ def chains(en: list[tuple], ru: list[tuple], found: list[tuple[int, int, float]]
     return out
 
 
-def _coverage(owner: list[int], strength: list[float], best: dict[tuple[int, int], dict[int, float]], side: int) -> dict[tuple[int, int], float]:
-    """Per cell the covered part of the strength of its sentence on one side; 0 if its links are too weak to count."""
+def _wholes(owner: list[int], strength: list[float]) -> dict[int, float]:
+    """The strength of each sentence."""
     whole: dict[int, float] = defaultdict(float)
     for s, v in zip(owner, strength, strict=True):
         whole[s] += v
-    return {
-        cell: sum(min(strength[t], w / 0.7) for t, w in tokens.items()) / whole[cell[side]]
-        if whole[cell[side]] and sum(tokens.values()) >= LEAST_MEAN * len(tokens) else 0.0
-        for cell, tokens in best.items()
-    }
+    return whole
+
+
+def _covered(best: dict[int, float], strength: list[float], whole: float) -> float:
+    """The covered part of a sentence, given the weight of each covered token."""
+    return sum(min(strength[t], w / 0.7) for t, w in best.items()) / whole if whole else 0.0
+
+
+def _strong(best: dict[int, float]) -> bool:
+    """Whether links are strong enough on average to be more than chance."""
+    return sum(best.values()) >= LEAST_MEAN * len(best)
+
+
+def _best(points: list[tuple[int, int, float]], side: int) -> dict[int, float]:
+    """The highest weight of every token of one side."""
+    out: dict[int, float] = {}
+    for p in points:
+        if p[2] > out.get(p[side], 0.0):
+            out[p[side]] = p[2]
+    return out
 
 
 def align(en_text: str, ru_text: str, lexicon: Lexicon) -> list[tuple[int, int, float, float]]:
@@ -184,17 +199,21 @@ def align(en_text: str, ru_text: str, lexicon: Lexicon) -> list[tuple[int, int,
 
 
 def _blocks(en, ru, own_e, own_r, power_e, power_r, found, slope, spread) -> list[tuple[int, int, float, float]]:
-    left: dict[tuple[int, int], dict[int, float]] = defaultdict(dict)
-    right: dict[tuple[int, int], dict[int, float]] = defaultdict(dict)
     cells: dict[tuple[int, int], list[tuple[int, int, float]]] = defaultdict(list)
     for p in found:
         cells[own_e[p[0]], own_r[p[1]]].append(p)
+    whole_e, whole_r = _wholes(own_e, power_e), _wholes(own_r, power_r)
+    by_e: dict[tuple[int, int], float] = {}
+    by_r: dict[tuple[int, int], float] = {}
     for cell, inside in cells.items():
-        for chain in chains(en, ru, inside, slope, spread):
-            for i, j, w in chain:
-                left[cell][i] = max(left[cell].get(i, 0.0), w)
-                right[cell][j] = max(right[cell].get(j, 0.0), w)
-    by_e, by_r = _coverage(own_e, power_e, left, 0), _coverage(own_r, power_r, right, 1)
+        we, wr = whole_e[cell[0]], whole_r[cell[1]]
+        # chains can't cover more than all points of the cell do
+        if max(_covered(_best(inside, 0), power_e, we), _covered(_best(inside, 1), power_r, wr)) < COVER:
+            continue
+        kept = [p for chain in chains(en, ru, inside, slope, spread) for p in chain]
+        left, right = _best(kept, 0), _best(kept, 1)
+        by_e[cell] = _covered(left, power_e, we) if _strong(left) else 0.0
+        by_r[cell] = _covered(right, power_r, wr) if _strong(right) else 0.0
     order = sorted(by_e, key=lambda c: (-max(by_e[c], by_r[c]) - 0.5 * min(by_e[c], by_r[c]), abs(c[0] - c[1]), c))
     out: list[tuple[int, int, float, float]] = []
     spent_e: dict[int, float] = defaultdict(float)
