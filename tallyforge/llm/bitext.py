@@ -45,6 +45,7 @@ REACH = 30.0
 
 _SPLIT = regex.compile(r"(?<=[.!?])\s+(?=\p{Lu})")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}_]+(?:[./@:][\p{L}\p{M}\p{N}_]+)*")
+_NAMELIKE = regex.compile(r"[^\p{L}\p{M}]")
 _CYRILLIC, _LATIN = regex.compile(r"\p{Cyrillic}"), regex.compile(r"\p{Latin}")
 
 
@@ -66,7 +67,7 @@ def tokens(text: str) -> list[tuple[str, float, bool]]:
     out = []
     for m in _TOKEN.finditer(text):
         w = m[0].lower()
-        name = any(not c.isalpha() for c in w)
+        name = not w.isalpha() and _NAMELIKE.search(w) is not None
         out.append((w if name else w[:STEM], (m.start() + m.end()) / 2, name))
     return out
 

@@ -100,7 +100,7 @@ def _segments(spark: SparkSession, folder: str) -> DataFrame:
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Stretches of documents that are mixed, unlabelled or wrongly labelled."""
     wrong = F.coalesce(languages.known_label(F.col("label")) != F.col("lang"), F.lit(True))
-    return _segments(spark, folder).where((F.col("n_segs") > 1) | wrong).select("doc_id", "seg_no", "lang")
+    return _segments(spark, folder).where((F.col("n_segs") > 1) | wrong).select("doc_id", "seg_no", "lang").distinct()
 
 
 @R.add()
