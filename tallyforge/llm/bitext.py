@@ -1,10 +1,11 @@
 """Sentence alignment in the geometric space of a text and its rough translation.
 
 Points of correspondence stand where a word of one text and a likely translation of it stand in the other, measured in
-characters. Chains of points that follow the slope of the text pair are searched in rectangles that grow with the chain;
-points beside a stronger one of their row or column are noise. Chains may start anywhere, so sentences in another order
-give chains off the diagonal. Each cell of two sentences that chains cover well enough becomes a pair; cells that share a
-sentence form blocks of merged sentences.
+characters. Chains of points that follow the slope of the text pair are searched over the whole text, in rectangles that
+grow with the chain across sentences; points beside a stronger one of their row or column are noise. Chains may start
+anywhere, so sentences in another order give chains off the diagonal. Chains are cut at the ends of sentences, and each
+cell of two sentences that its part of the chains covers well enough becomes a pair; cells that share a sentence form
+blocks of merged sentences.
 
 Translations are learned from the texts themselves: first from words that stand in the same text pairs more often than by
 chance, then again from words in those sentence pairs of the first lexicon that cover both sentences.
@@ -12,6 +13,7 @@ chance, then again from words in those sentence pairs of the first lexicon that
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -105,47 +107,71 @@ def points(en: list[tuple], ru: list[tuple], lexicon: Lexicon) -> list[tuple[int
     return out
 
 
-def chains(en: list[tuple], ru: list[tuple], found: list[tuple[int, int, float]], slope: float, spread: float) -> list[list[tuple[int, int, float]]]:
-    """Slope-consistent chains, strongest seeds first; a point is in one chain, and a token in one chain a side.
+def chains(en: list[tuple], ru: list[tuple], found: list[tuple[int, int, float]], cell: Callable[[tuple], tuple[int, int]], slope: float, spread: float) -> list[list[tuple[int, int, float]]]:
+    """Slope-consistent chains over a whole text, best supported seeds first; a token is in one chain a side.
 
-    From a seed the rectangle around the chain grows by REACH characters along the slope. Points in it join if their
-    distance from the chain's own diagonal is at most spread. A point much weaker than another of its row or column in
-    the rectangle is noise.
+    The rectangle of a chain grows by REACH characters at either end, across sentences. Points in it join if they are at
+    most spread from the diagonal of the chain's own points near that end, so chains follow a text whose slope changes.
+    What is said in another order, and what follows an omission, has a diagonal and thus a chain of its own.
+    Of a token's points the strongest and nearest to the diagonal joins first and ties it to one sentence of the other side.
+    The token's points in other sentences, and lone weak points, are noise.
     """
-    place = {p: (en[p[0]][1], ru[p[1]][1]) for p in found}
-    drift = {p: y - slope * x for p, (x, y) in place.items()}
-    free = sorted(found, key=lambda p: (-p[2], abs(drift[p]), p))
+    pts = sorted(found)
+    xs = [en[p[0]][1] for p in pts]
+    drift = [ru[p[1]][1] - slope * x for p, x in zip(pts, xs, strict=True)]
+
+    def window(low: float, high: float) -> range:
+        return range(bisect_left(xs, low), bisect_right(xs, high))
+
+    def support(k: int) -> float:
+        best: dict[int, float] = {}
+        for q in window(xs[k] - REACH, xs[k] + REACH):
+            if abs(drift[q] - drift[k]) <= spread / 2 and pts[q][2] > best.get(pts[q][0], 0.0):
+                best[pts[q][0]] = pts[q][2]
+        return sum(best.values())
+
+    def diagonal(chain: set[int], x: float) -> float:
+        total = weight = 0.0
+        for q in window(x - 2 * REACH, x + 2 * REACH):
+            if q in chain:
+                total += drift[q] * pts[q][2]
+                weight += pts[q][2]
+        return total / weight
+
     used_e: set[int] = set()
     used_r: set[int] = set()
     out = []
-    for seed in free:
-        if seed[0] in used_e or seed[1] in used_r:
+    for seed in sorted(range(len(pts)), key=lambda k: (-support(k), -pts[k][2], abs(drift[k]), k)):
+        if pts[seed][0] in used_e or pts[seed][1] in used_r:
             continue
-        x0 = x1 = place[seed][0]
-        y0 = y1 = place[seed][1]
-        chain, centre = [seed], drift[seed]
-        rows, columns = {seed[0]: seed[2]}, {seed[1]: seed[2]}
-        grown = True
-        while grown:
-            grown = False
-            near = [
-                p for p in free
-                if p[0] not in used_e and p[1] not in used_r and p not in chain
-                and x0 - REACH <= place[p][0] <= x1 + REACH and y0 - slope * REACH <= place[p][1] <= y1 + slope * REACH
-                and abs(drift[p] - centre) <= spread
-                and p[2] >= 0.5 * rows.get(p[0], 0) and p[2] >= 0.5 * columns.get(p[1], 0)
-            ]
-            for p in near:
-                chain.append(p)
-                rows[p[0]], columns[p[1]] = max(rows.get(p[0], 0), p[2]), max(columns.get(p[1], 0), p[2])
-                x, y = place[p]
-                x0, x1, y0, y1 = min(x0, x), max(x1, x), min(y0, y), max(y1, y)
-                grown = True
-            centre = sum(drift[p] * p[2] for p in chain) / sum(p[2] for p in chain)
-        if len(chain) >= 2 or seed[2] >= 0.5:
-            out.append(chain)
-            used_e.update(p[0] for p in chain)
-            used_r.update(p[1] for p in chain)
+        chain, left, right, size = {seed}, xs[seed], xs[seed], 0
+        rows, columns, reached = {pts[seed][0]}, {pts[seed][1]}, {seed}
+        while len(chain) > size:
+            size = len(chain)
+            for end in (left, right):
+                centre = diagonal(chain, end)
+                near = [
+                    (0.5 * abs(drift[q] - centre) / spread - pts[q][2], q) for q in window(end - REACH, end + REACH)
+                    if abs(drift[q] - centre) <= spread and pts[q][0] not in used_e and pts[q][1] not in used_r
+                ]
+                for _, q in sorted(near):
+                    reached.add(q)
+                    if pts[q][0] not in rows and pts[q][1] not in columns:
+                        chain.add(q)
+                        rows.add(pts[q][0])
+                        columns.add(pts[q][1])
+            left, right = xs[min(chain)], xs[max(chain)]
+        to_r: dict[int, tuple[int, int]] = {}
+        to_e: dict[int, tuple[int, int]] = {}
+        kept = []
+        for q in [*sorted(chain), *sorted(reached - chain)]:
+            c = cell(pts[q])
+            if to_r.setdefault(pts[q][0], c) == c and to_e.setdefault(pts[q][1], c) == c:
+                kept.append(pts[q])
+        if len(kept) >= 2 or pts[seed][2] >= 0.5:
+            out.append(kept)
+            used_e.update(p[0] for p in kept)
+            used_r.update(p[1] for p in kept)
     return out
 
 
@@ -200,34 +226,45 @@ def align(en_text: str, ru_text: str, lexicon: Lexicon) -> list[tuple[int, int,
 
 
 def _blocks(en, ru, own_e, own_r, power_e, power_r, found, slope, spread) -> list[tuple[int, int, float, float]]:
-    cells: dict[tuple[int, int], list[tuple[int, int, float]]] = defaultdict(list)
-    for p in found:
-        cells[own_e[p[0]], own_r[p[1]]].append(p)
+    """Chains cut at the ends of sentences into cells; those verified by coverage.
+
+    Tokens in cells that fail are free again. The search is repeated without the points of cells that all their free points
+    can't cover, or else without the weakest cell, until no points are left.
+    """
+    def cell(p: tuple) -> tuple[int, int]:
+        return own_e[p[0]], own_r[p[1]]
+
     whole_e, whole_r = _wholes(own_e, power_e), _wholes(own_r, power_r)
-    by_e: dict[tuple[int, int], float] = {}
-    by_r: dict[tuple[int, int], float] = {}
-    for cell, inside in cells.items():
-        we, wr = whole_e[cell[0]], whole_r[cell[1]]
-        # chains can't cover more than all points of the cell do
-        if max(_covered(_best(inside, 0), power_e, we), _covered(_best(inside, 1), power_r, wr)) < COVER:
-            continue
-        kept = [p for chain in chains(en, ru, inside, slope, spread) for p in chain]
-        left, right = _best(kept, 0), _best(kept, 1)
-        by_e[cell] = _covered(left, power_e, we) if _strong(left) else 0.0
-        by_r[cell] = _covered(right, power_r, wr) if _strong(right) else 0.0
-    order = sorted(by_e, key=lambda c: (-max(by_e[c], by_r[c]) - 0.5 * min(by_e[c], by_r[c]), abs(c[0] - c[1]), c))
-    out: list[tuple[int, int, float, float]] = []
-    spent_e: dict[int, float] = defaultdict(float)
-    spent_r: dict[int, float] = defaultdict(float)
-    for c in order:
-        score = max(by_e[c], by_r[c])
-        # what earlier pairs said of either sentence can't be said again
-        if score < COVER or spent_e[c[0]] + by_e[c] > 1.35 or spent_r[c[1]] + by_r[c] > 1.35:
-            continue
-        out.append((c[0], c[1], score, min(by_e[c], by_r[c])))
-        spent_e[c[0]] += by_e[c]
-        spent_r[c[1]] += by_r[c]
-    return sorted(out)
+    cells: dict[tuple[int, int], list[tuple[int, int, float]]] = defaultdict(list)
+    out: dict[tuple[int, int], tuple[float, float]] = {}
+    while found:
+        held: dict[tuple[int, int], list[tuple[int, int, float]]] = defaultdict(list)
+        for c in out:
+            held[c].extend(cells[c])
+        for chain in chains(en, ru, found, cell, slope, spread):
+            for p in chain:
+                held[cell(p)].append(p)
+        verified: dict[tuple[int, int], tuple[float, float]] = {}
+        for c, inside in held.items():
+            left, right = _best(inside, 0), _best(inside, 1)
+            by_e = _covered(left, power_e, whole_e[c[0]]) if _strong(left) else 0.0
+            by_r = _covered(right, power_r, whole_r[c[1]]) if _strong(right) else 0.0
+            if max(by_e, by_r) >= COVER:
+                verified[c] = max(by_e, by_r), min(by_e, by_r)
+        won = verified.keys() - out.keys()
+        cells, out = held, verified
+        used_e = {p[0] for c in out for p in cells[c]}
+        used_r = {p[1] for c in out for p in cells[c]}
+        left_over: dict[tuple[int, int], list[tuple[int, int, float]]] = defaultdict(list)
+        for p in found:
+            if p[0] not in used_e and p[1] not in used_r:
+                left_over[cell(p)].append(p)
+        reach = {c: max(_covered(_best(ps, 0), power_e, whole_e[c[0]]), _covered(_best(ps, 1), power_r, whole_r[c[1]])) for c, ps in left_over.items()}
+        lost = {c for c, r in reach.items() if r < COVER}
+        if not won and not lost and reach:
+            lost = {min(reach, key=lambda c: (reach[c], c))}
+        found = [p for c, ps in left_over.items() if c not in lost for p in ps]
+    return sorted((*c, *score) for c, score in out.items())
 
 
 def _counts(texts: DataFrame, units: Callable[[str, str], list[tuple[set[str], set[str]]]]) -> DataFrame:

@@ -38,3 +38,29 @@ def test_alignment(spark):
 def test_empty(spark):
     rows = bitext.bilingual(texts(spark).limit(0))
     assert bitext.alignment(rows, ["id"], bitext.learn(rows)).count() == 0
+
+
+def plain_lexicon():
+    words = {"ant": "муравей", "bee": "пчела", "cat": "кошка", "dog": "собака", "elk": "лось", "fox": "лиса", "hen": "курица", "owl": "сова"}
+    return bitext.Lexicon({e: {r: 0.9} for e, r in words.items()}, dict.fromkeys(words, 0.9), dict.fromkeys(words.values(), 0.9))
+
+
+def test_chains_cross_sentences():
+    en, ru = "Ant bee cat. Dog elk fox.", "Муравей пчела кошка. Собака лось лиса."
+    left, right = bitext.tokens(en), bitext.tokens(ru)
+    found = bitext.points(left, right, plain_lexicon())
+    chains = bitext.chains(left, right, found, lambda p: (p[0] // 3, p[1] // 3), len(ru) / len(en), 40)
+    assert [sorted(p[:2] for p in c) for c in chains] == [[(i, i) for i in range(6)]]
+
+
+def test_repeated_sentence_follows_its_chain():
+    # the last sentence stands right behind the three merged ones and once more after that, where its number is nearer
+    left, right = ["window", "garden", "silver", "planet"], ["окошко", "садик", "серебро", "планета"]
+    en = [f"{a}{n}" for n in "bcdf" for a in left]
+    ru = [f"{a}{n}" for n in "бвгд" for a in right]
+    stems = {e[:bitext.STEM]: r[:bitext.STEM] for e, r in zip(en, ru, strict=True)}
+    lexicon = bitext.Lexicon({e: {r: 0.9} for e, r in stems.items()}, dict.fromkeys(stems, 0.9), dict.fromkeys(stems.values(), 0.9))
+    en_text = " ".join(" ".join(en[i:i + 4]).capitalize() + "." for i in range(0, 16, 4))
+    last = " ".join(ru[12:]).capitalize() + "."
+    ru_text = f"{' '.join(ru[:12]).capitalize()}. {last} {last}"
+    assert [a[:2] for a in bitext.align(en_text, ru_text, lexicon)] == [(0, 0), (1, 0), (2, 0), (3, 1)]
