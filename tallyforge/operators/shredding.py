@@ -160,6 +160,29 @@ def elements(columns: DataFrame, ids: list[str]) -> DataFrame:
     )
 
 
+def child_values(columns: DataFrame, ids: list[str]) -> DataFrame:
+    """Every child of every kind with all its values, one a row: ids, path, idx, parent_path, parent_idx, field, pos, value.
+
+    Each array element has one row without field, and one more for each plain value below it that lies in no element of a
+    deeper array. field is the path below the element. Values in a plain array have their positions in it as pos, others ''.
+    """
+    inside, element = r"^(.*\[\])\.(.+)$", F.col("vals").isNull()
+    found = columns.where(element | F.col("path").rlike(inside)).select(*ids, "path", "vals", F.explode(_positions()).alias("_e"))
+    own = F.when(element, F.regexp_replace("path", r"\{\}$", "")).otherwise(F.regexp_extract("path", inside, 1))
+    at, value = F.col("_e.at").cast("array<string>"), F.get("vals", F.col("_e.slot"))
+    depth = F.size(F.split(own, r"\[\]")) - 1
+    return found.where(element | value.isNotNull()).select(
+        *ids,
+        _plain(own).alias("path"),
+        F.array_join(F.slice(at, F.lit(1), depth), "/").alias("idx"),
+        _plain(F.regexp_extract(own, r"^(.*\[\])[^\[]*\[\]$", 1)).alias("parent_path"),
+        F.array_join(F.slice(at, F.lit(1), depth - 1), "/").alias("parent_idx"),
+        F.when(~element, _plain(F.regexp_extract("path", inside, 2))).alias("field"),
+        F.when(~element, F.array_join(F.slice(at, depth + 1, F.size(at)), "/")).alias("pos"),
+        value.alias("value"),
+    )
+
+
 def child_table(columns: DataFrame, ids: list[str], path: str, fields: Sequence[str]) -> DataFrame:
     """The flat table of one repeated ancestor, given with its `[]`: ids, idx, parent_idx and the fields as strings.
 

@@ -100,17 +100,24 @@ def p4_links(spark: SparkSession, folder: str) -> DataFrame:
     return shredding.elements(columns, IDS).distinct()
 
 
+@R.add()
+def p4_children(spark: SparkSession, folder: str) -> DataFrame:
+    """All flat tables in one: every array element of issues and comments with its parent and all its values."""
+    columns = shredding.shred(_records(spark, folder), IDS, "raw_json", ARRAYS, PACKED)
+    return shredding.child_values(columns, IDS).distinct()
+
+
 @R.add()
 def p4_findings(spark: SparkSession, folder: str) -> DataFrame:
     """The flat table of findings in the files of validation runs."""
-    records = _records(spark, folder).where("src = 'issues' and contains(raw_json, 'findings')").dropDuplicates(IDS)
+    records = _records(spark, folder).dropDuplicates(IDS)
     columns = shredding.shred(records, IDS, "raw_json", ARRAYS, PACKED)
     return shredding.child_table(columns, IDS, "validation.runs[].result.files[].findings[]", ["rule_id", "severity", "line"])
 
 
 @R.add()
 def p4_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """The flat table of label objects of issues."""
-    records = _records(spark, folder).where("src = 'issues'").dropDuplicates(IDS)
+    """The flat table of label objects."""
+    records = _records(spark, folder).dropDuplicates(IDS)
     columns = shredding.shred(records, IDS, "raw_json", ARRAYS, PACKED)
     return shredding.child_table(columns, IDS, "labels[]", ["id", "name", "color"])

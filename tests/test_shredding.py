@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from tallyforge.operators import shredding
 from tallyforge.operators.shredding import positions, shred_record
+from tests.oracle import DATA
 
 ONE, PACKED = frozenset(["labels", "runs"]), frozenset(["runs", "validation"])
 
@@ -80,3 +81,43 @@ def test_values_line_up(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "k bigint, j string")
     assert shredding.elements(shredding.shred(empty, ["k"], "j"), ["k"]).count() == 0
+
+
+def test_children_keep_all_values(spark):
+    """Every element of both tables with every value below it, against plain recursion."""
+    from tallyforge.plans import problems
+
+    one, packed = frozenset(problems.ARRAYS), frozenset(problems.PACKED)
+    want = set()
+
+    def walk(v, src, k, path, at, owner, field):
+        # owner: number of names and of positions of the element around v, or None
+        if isinstance(v, dict):
+            for name, x in v.items():
+                x = shredding._unpack(x, name, one, packed)
+                walk(x, src, k, [*path, name], at, owner, [*field, name])
+        elif isinstance(v, list):
+            for i, x in enumerate(v):
+                if isinstance(x, dict):
+                    want.add((src, k, ".".join(path), "/".join(map(str, [*at, i])), None, None, None))
+                    walk(x, src, k, path, [*at, i], (len(path), len(at) + 1), [])
+                else:
+                    walk(x, src, k, path, [*at, i], owner, field)
+        elif v is not None and owner:
+            n, m = owner
+            text = v if isinstance(v, str) else json.dumps(v)
+            want.add((src, k, ".".join(path[:n]), "/".join(map(str, at[:m])), ".".join(field), "/".join(map(str, at[m:])), text))
+
+    for r in problems._records(spark, DATA).collect():
+        try:
+            record = json.loads(r.raw_json, parse_constant=lambda c: 1 / 0)
+        except (ValueError, ZeroDivisionError):
+            continue
+        if isinstance(record, dict):
+            walk(record, r.src, r.row_id, [], [], None, [])
+    got = problems.p4_children(spark, DATA)
+    assert {tuple(x) for x in got.select("src", "row_id", "path", "idx", "field", "pos", "value").collect()} == want
+    paths = {(r.src, r.path, r.field) for r in got.select("src", "path", "field").distinct().collect()}
+    assert {("comments", "edits.changes", "size.after"), ("comments", "reactions.nodes", "user.login"), ("issues", "validation.runs.result.files.findings", "notes")} <= paths
+    links = got.where("field is null").select("src", "row_id", "path", "idx", "parent_path", "parent_idx")
+    assert links.exceptAll(problems.p4_links(spark, DATA)).count() == 0
