@@ -113,8 +113,8 @@ def _sentence_pairs(spark: SparkSession, folder: str) -> DataFrame:
     rows = load(spark, folder, "corrections").where("correction_id is not null")
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}.en").alias("en"), F.col(f"{f}.ru").alias("ru")) for f in ("observation", "correction")])
     texts = rows.select("correction_id", F.inline(fields)).where("en <> '' and ru <> ''").distinct()
-    texts = spread(materialize(spread(bitext.bilingual(texts))))
-    return bitext.alignment(texts, ["correction_id", "field"], bitext.learn(texts))
+    tokens = bitext.tokenized(texts, ["correction_id", "field"])
+    return bitext.alignment(tokens, ["correction_id", "field"], bitext.learn(tokens))
 
 
 @R.add()
