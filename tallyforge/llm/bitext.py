@@ -564,12 +564,14 @@ def _counts(tokens: DataFrame, lexicon: Lexicon | None) -> DataFrame:
 class Lexicon:
     """Links as a table e, r, v; sent to all tasks if there are at most `most` of them, else joined to the texts that need them."""
 
-    def __init__(self, table: DataFrame, most: int = MAX_LINKS) -> None:
+    def __init__(self, table: DataFrame, rows: int, most: int = MAX_LINKS) -> None:
         self._table, self._shared = table, None
-        if table.limit(most + 1).count() <= most:
-            rows = table.toArrow()
-            links = Links(*[rows.column(c).to_numpy() for c in ("e", "r", "v")])
+        if rows <= most:
+            found = table.toArrow()
+            links = Links(*[found.column(c).to_numpy() for c in ("e", "r", "v")])
             self._shared = table.sparkSession.sparkContext.broadcast(links)
+        else:
+            self._table = materialize(table)
 
     def __getstate__(self):
         return {"_shared": self._shared, "_table": None}
@@ -611,13 +613,12 @@ def lexicon_of(counts: DataFrame, most: int = MAX_LINKS) -> Lexicon:
         counts.where("e <> 0 and r <> 0").join(words["e"], "e").join(words["r"], "r")
         .select("e", "r", (link * F.col("n") / (F.col("n") + DOUBT)).alias("v")).where(F.col("v") >= LEAST_LINK)
     )
-    links = materialize(links)
-    table = links
+    table = links = materialize(links)
     for c, o in (("e", "r"), ("r", "e")):
         unlinked = UNLINKED * F.greatest(F.lit(0.0), 1 - 5 * F.col(f"n_{c}") / n) * F.col(f"n_{c}") / (F.col(f"n_{c}") + UNSEEN)
         own = words[c].join(links.groupBy(c).agg(F.max("v").alias("best")), c, "left").select(c, F.lit(0).cast("bigint").alias(o), F.greatest("best", unlinked).alias("v"))
         table = table.unionByName(own)
-    return Lexicon(materialize(table), most)
+    return Lexicon(table, links.count() + counts.where("e = 0 or r = 0").count(), most)
 
 
 def learn(tokens: DataFrame, rounds: int = 1, most: int = MAX_LINKS) -> Lexicon:
