@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Characters that an unseen character is one of.
 ALPHABET = 5000
 
@@ -23,7 +23,7 @@ def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
     h = np.full(len(codes), n * 0x2545F491 + 1, np.uint64)
     with np.errstate(over="ignore"):
         for back in range(n - 1, -1, -1):
-            h = (h ^ np.roll(codes, back)) * _PRIME
+            h = (h ^ np.roll(codes, back)) * PRIME
             h ^= h >> np.uint64(29)
     return h
 
@@ -41,12 +41,16 @@ def _padded(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Models:
-    """Kneser-Ney models of several languages, by order: sorted hashes with a matrix for n-grams, and one for histories."""
+    """Kneser-Ney models of several languages, by order: sorted hashes with a matrix for n-grams, and one for histories.
+
+    unseen: per language a cross-entropy a character that words it has never seen stay below, if it was measured.
+    """
 
     languages: list[str]
     order: int
     grams: list[tuple[np.ndarray, np.ndarray]]
     histories: list[tuple[np.ndarray, np.ndarray]]
+    unseen: dict[str, float] = field(default_factory=dict)
 
     def score(self, words: list[str]) -> np.ndarray:
         """Natural-log probability of each word, its end included, in every language."""

@@ -93,14 +93,15 @@ def p7_shares_within_caps(spark: SparkSession, folder: str) -> DataFrame:
 
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
     documents = spread(load(spark, folder, "documents").select("doc_id", "text", "lang"))
-    return languages.segments(documents, *languages.train(documents))
+    return languages.segments(documents, languages.train(documents))
 
 
 @R.add()
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Stretches of documents that are mixed, unlabelled or wrongly labelled."""
     wrong = F.coalesce(languages.known_label(F.col("label")) != F.col("lang"), F.lit(True))
-    return _segments(spark, folder).where((F.col("n_segs") > 1) | wrong).select("doc_id", "seg_no", "lang").distinct()
+    known = _segments(spark, folder).where("seg_no is not null")
+    return known.where((F.col("n_segs") > 1) | wrong).select("doc_id", "seg_no", "lang").distinct()
 
 
 @R.add()
