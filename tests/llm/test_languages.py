@@ -102,7 +102,7 @@ def test_rejection_and_confidence(spark):
     folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01").replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
     models = languages.train(docs)
-    more = [(-1 - i, t, None) for i, t in enumerate(FOREIGN)] + [(-100 - i, t, x) for i, (x, t) in enumerate(EVERYDAY.items())] + [(-200, "Ja", None)]
+    more = [(-1 - i, t, None) for i, t in enumerate(FOREIGN)] + [(-100 - i, t, None) for i, t in enumerate(EVERYDAY.values())] + [(-200, "Ja", None)]
     rows = languages.segments(docs.unionByName(spark.createDataFrame(more, docs.schema)), models).where("doc_id < 0").collect()
     by = {}
     for r in rows:
