@@ -8,12 +8,16 @@ words of item and document decide.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.words import shingles, word_array
+from tallyforge.llm.words import words
 from tallyforge.operators.skew import broadcast_if_small
 from tallyforge.session import materialize
 
@@ -21,6 +25,11 @@ SHINGLE = 5
 LEAST_WORDS = 20
 #: One word in so many may be another.
 TOLERANCE = 8
+#: Size of the bit set that sorts out shingles of no item (a power of two: 16 MB), and words whose hashes a task keeps.
+FILTER_BITS = 27
+KEPT_WORDS = 500_000
+
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def prefix_positions(frequency: list[int], n: int = SHINGLE, least: int = LEAST_WORDS, tolerance: int = TOLERANCE) -> list[int]:
@@ -80,12 +89,92 @@ def leaked(item: list[str], document: list[str], places: list[tuple[list[int], l
     return False
 
 
+def _filter(shingle_ids: DataFrame) -> np.ndarray:
+    """A bit set of hashes of the given shingles, of fixed size however many there are; it never misses one."""
+    slot = F.col("h").bitwiseAND((1 << FILTER_BITS) - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(63).cast("int"))
+    rows = shingle_ids.groupBy(F.shiftright(slot, 6).alias("k")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[rows.column("k").to_numpy()] = rows.column("bits").to_numpy()
+    return out
+
+
+class _Shingler:
+    """Words of texts and the shingles of a batch; hashes of words are kept for later batches of a task."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.known = n, {}
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
+        """The words of each text; and text, place and hash of every shingle."""
+        if len(self.known) > KEPT_WORDS:
+            self.known = {}
+        worded = [words(x) if x else [] for x in texts]
+        known = self.known
+        for w in {w for ws in worded for w in ws}.difference(known):
+            known[w] = xxhash.xxh64_intdigest(w)
+        size = np.fromiter(map(len, worded), np.int64, len(worded))
+        ids = np.fromiter((known[w] for ws in worded for w in ws), np.uint64, int(size.sum()))
+        count = np.maximum(size - self.n + 1, 0)
+        text = np.repeat(np.arange(len(worded)), count)
+        at = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        first = (np.cumsum(size) - size)[text] + at
+        h = np.zeros(len(first), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(self.n):
+                h = (h ^ ids[first + k]) * _PRIME
+                h ^= h >> np.uint64(29)
+        return worded, text, at, h.view(np.int64)
+
+
+def item_shingles(items: DataFrame, n: int = SHINGLE, least: int = LEAST_WORDS) -> DataFrame:
+    """item_id, iw (its words), hs (its shingles in order) of every item of least words or more."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = _Shingler(n)
+        for batch in batches:
+            worded, text, _, h = shingler(batch.column("text").to_pylist())
+            keep = [k for k, w in enumerate(worded) if len(w) >= least]
+            split = np.split(h, np.searchsorted(text, np.arange(1, len(worded)))) if worded else []
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item_id").take(pa.array(keep, pa.int64())), pa.array([worded[k] for k in keep], pa.list_(pa.string())), pa.array([split[k] for k in keep], pa.list_(pa.int64()))],
+                ["item_id", "iw", "hs"],
+            )
+
+    return items.where("text is not null").select("item_id", "text").mapInArrow(each, "item_id bigint, iw array<string>, hs array<bigint>")
+
+
 def matches(documents: DataFrame, shingle_ids: DataFrame, n: int = SHINGLE, least: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, n_words, h, ats: the places of every given shingle h in each document of least words or more."""
-    worded = documents.select("doc_id", word_array(F.col("text")).alias("w")).where(F.size("w") >= least)
-    placed = worded.select("doc_id", F.size("w").alias("n_words"), F.posexplode(shingles(F.col("w"), n)).alias("at", "h"))
-    hit = placed.join(broadcast_if_small(shingle_ids), "h")
-    return hit.groupBy("doc_id", "n_words", "h").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    """doc_id, n_words, dw (its words) and hits, the places of every given shingle, of each document that has one; written once.
+
+    Shingles that no item has are dropped in the batch that makes them, so that few rows leave a task.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(_filter(shingle_ids))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, bits = _Shingler(n), shared.value
+        for batch in batches:
+            worded, text, at, h = shingler(batch.column("text").to_pylist())
+            slot = h & ((1 << FILTER_BITS) - 1)
+            hit = (bits[slot >> 6] >> (slot & 63)) & 1 > 0
+            text, at, h = text[hit], at[hit], h[hit]
+            order = np.lexsort((at, h, text))
+            text, at, h = text[order], at[order], h[order]
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1])
+            first = np.flatnonzero(new)
+            ats = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(at.astype(np.int32)))
+            docs, count = np.unique(text[first], return_counts=True)
+            size = np.array([len(worded[k]) for k in docs.tolist()], np.int64)
+            hits = pa.StructArray.from_arrays([pa.array(h[first]), ats], ["h", "ats"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(docs)), pa.array(size), pa.array([worded[k] for k in docs.tolist()], pa.list_(pa.string())),
+                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), hits)],
+                ["doc_id", "n_words", "dw", "hits"],
+            )
+
+    schema = "doc_id bigint, n_words bigint, dw array<string>, hits array<struct<h:bigint, ats:array<int>>>"
+    return materialize(documents.select("doc_id", "text").mapInArrow(each, schema).where(F.col("n_words") >= least))
 
 
 def leaks(documents: DataFrame, items: DataFrame, n: int = SHINGLE, least: int = LEAST_WORDS, tolerance: int = TOLERANCE) -> DataFrame:
@@ -93,36 +182,35 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = SHINGLE, least: int =
 
     documents: doc_id, text; items: item_id, text. Null and empty texts hold nothing.
     """
-    worded = materialize(items.select("item_id", word_array(F.col("text")).alias("iw")).where(F.size("iw") >= least))
-    of_items = worded.select("item_id", F.size("iw").alias("i_words"), F.posexplode(shingles(F.col("iw"), n)).alias("i_at", "h"))
-    found = materialize(matches(documents.where("text is not null"), of_items.select("h").distinct(), n, least))
+    worded = materialize(item_shingles(items, n, least))
+    of_items = worded.select("item_id", F.size("iw").alias("i_words"), F.posexplode("hs").alias("i_at", "h"))
+    found = matches(documents.where("text is not null"), of_items.select("h"), n, least)
     # rarity over the whole corpus
-    rarity = found.groupBy("h").agg(F.count("*").alias("df"))
+    rarity = materialize(found.select(F.explode("hits.h").alias("h")).groupBy("h").agg(F.count("*").alias("df")))
     ranked = of_items.join(broadcast_if_small(rarity), "h", "left").fillna(0, ["df"])
 
     def prefix(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("i_at")
         return rows.iloc[prefix_positions(rows.df.tolist(), n, least, tolerance)][["item_id", "i_words", "i_at", "h"]]
 
-    prefixes = ranked.groupBy("item_id").applyInPandas(prefix, "item_id bigint, i_words int, i_at int, h bigint")
+    cores = documents.sparkSession.sparkContext.defaultParallelism  # items are few and costly: one task would get them all
+    prefixes = ranked.repartition(2 * cores, "item_id").groupBy("item_id").applyInPandas(prefix, "item_id bigint, i_words int, i_at int, h bigint")
     prefixes = materialize(prefixes.groupBy("item_id", "i_words", "h").agg(F.sort_array(F.collect_list("i_at")).alias("i_ats")))
     # the most words that item and document can have beside each other at any shift that the shingle allows
     lowest, highest = F.array_min("ats") - F.array_max("i_ats"), F.array_max("ats") - F.array_min("i_ats")
     shift = F.least(F.greatest(lowest, F.least(F.lit(0), F.col("n_words") - F.col("i_words"))), highest)
     room = F.least(F.col("i_words"), F.col("n_words") - shift) - F.greatest(F.lit(0), -shift)
-    candidates = materialize(
-        found.join(broadcast_if_small(prefixes), "h").where(room >= least)
+    candidates = (
+        found.select("doc_id", "n_words", F.inline("hits")).join(broadcast_if_small(prefixes), "h").where(room >= least)
         .groupBy("item_id", "doc_id").agg(F.collect_list(F.struct("ats", "i_ats")).alias("places"))
     )
-    suspects = broadcast_if_small(candidates.select("doc_id").distinct())
-    texts = documents.join(suspects, "doc_id", "left_semi").select("doc_id", word_array(F.col("text")).alias("dw"))
 
     def verify(item: pd.Series, document: pd.Series, places: pd.Series) -> pd.Series:
         rows = zip(item, document, places, strict=True)
         return pd.Series([leaked(list(i), list(d), [(p["ats"], p["i_ats"]) for p in ps], least, tolerance) for i, d, ps in rows])
 
     checked = (
-        candidates.join(texts, "doc_id").join(broadcast_if_small(worded), "item_id")
+        candidates.join(found.select("doc_id", "dw"), "doc_id").join(broadcast_if_small(worded.select("item_id", "iw")), "item_id")
         .where(F.pandas_udf(verify, "boolean")("iw", "dw", "places"))
     )
     return checked.select("item_id", "doc_id").distinct()

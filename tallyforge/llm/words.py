@@ -5,11 +5,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￻]")
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
@@ -32,20 +27,3 @@ def words(text: str) -> list[str]:
         text = _INVISIBLE.sub("", text)
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return _WORD.findall(_MARKS.sub("", text).casefold())
-
-
-def word_array(text: Column) -> Column:
-    """words() of a column; null has none."""
-
-    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([" ".join(words(x)) if x else "" for x in batch], dtype=object)
-
-    joined = F.pandas_udf(each, "string")(text)
-    return F.filter(F.split(joined, " "), lambda w: w != "")
-
-
-def shingles(words: Column, n: int) -> Column:
-    """64-bit hashes of all runs of n words, in order; none for shorter texts."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(n)]))
