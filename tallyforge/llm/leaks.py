@@ -68,16 +68,13 @@ def holds(item: np.ndarray, document: np.ndarray, shift: int, least: int = LEAST
     return bool((sums[least:] >= np.minimum.accumulate(sums[: len(sums) - least])).any())
 
 
-def leaked(item: list[str], document: list[str], places: list[tuple[list[int], list[int]]], least: int = LEAST_WORDS, tolerance: int = TOLERANCE) -> bool:
-    """Whether the document holds a window of the item at a shift that some shared shingle proposes.
+def leaked(a: np.ndarray, b: np.ndarray, places: list[tuple[list[int], list[int]]], least: int = LEAST_WORDS, tolerance: int = TOLERANCE) -> bool:
+    """Whether a document with words b holds a window of an item with words a, at a shift that some shared shingle proposes.
 
     places: for each shared shingle its positions in the document and in the item. Shingles with the fewest shifts are
     tried first, every shift once, up to the first that holds. Where a shingle repeats so often that its places outnumber the
     shifts between them, all those shifts are tried.
     """
-    number: dict[str, int] = {}
-    a = np.array([number.setdefault(w, len(number)) for w in item])
-    b = np.array([number.get(w, -1) for w in document])
     tried: set[int] = set()
     for at, i_at in sorted(places, key=lambda p: len(p[0]) * len(p[1])):
         every = range(int(min(at)) - int(max(i_at)), int(max(at)) - int(min(i_at)) + 1)
@@ -105,8 +102,8 @@ class _Shingler:
     def __init__(self, n: int) -> None:
         self.n, self.known = n, {}
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
-        """The words of each text; and text, place and hash of every shingle."""
+    def __call__(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words of each text; the hashes of all words; and text, place and hash of every shingle."""
         if len(self.known) > KEPT_WORDS:
             self.known = {}
         worded = [words(x) if x else [] for x in texts]
@@ -124,28 +121,33 @@ class _Shingler:
             for k in range(self.n):
                 h = (h ^ ids[first + k]) * _PRIME
                 h ^= h >> np.uint64(29)
-        return worded, text, at, h.view(np.int64)
+        return worded, ids.view(np.int64), text, at, h.view(np.int64)
+
+
+def _split(values: np.ndarray, size: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values))
 
 
 def item_shingles(items: DataFrame, n: int = SHINGLE, least: int = LEAST_WORDS) -> DataFrame:
-    """item_id, iw (its words), hs (its shingles in order) of every item of least words or more."""
+    """item_id, iw and ih (its words and their hashes), hs (its shingles in order) of every item of least words or more."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = _Shingler(n)
         for batch in batches:
-            worded, text, _, h = shingler(batch.column("text").to_pylist())
-            keep = [k for k, w in enumerate(worded) if len(w) >= least]
-            split = np.split(h, np.searchsorted(text, np.arange(1, len(worded)))) if worded else []
+            worded, ids, text, _, h = shingler(batch.column("text").to_pylist())
+            size = np.array([len(w) for w in worded], np.int64)
+            keep = np.flatnonzero(size >= least)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id").take(pa.array(keep, pa.int64())), pa.array([worded[k] for k in keep], pa.list_(pa.string())), pa.array([split[k] for k in keep], pa.list_(pa.int64()))],
-                ["item_id", "iw", "hs"],
+                [batch.column("item_id").take(pa.array(keep)), pa.array([worded[k] for k in keep.tolist()], pa.list_(pa.string())),
+                 _split(ids[np.repeat(size >= least, size)], size[keep]), _split(h[np.isin(text, keep)], size[keep] - n + 1)],
+                ["item_id", "iw", "ih", "hs"],
             )
 
-    return items.where("text is not null").select("item_id", "text").mapInArrow(each, "item_id bigint, iw array<string>, hs array<bigint>")
+    return items.where("text is not null").select("item_id", "text").mapInArrow(each, "item_id bigint, iw array<string>, ih array<bigint>, hs array<bigint>")
 
 
 def matches(documents: DataFrame, shingle_ids: DataFrame, n: int = SHINGLE, least: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, n_words, dw (its words) and hits, the places of every given shingle, of each document that has one; written once.
+    """doc_id, n_words, dw and dh (its words and their hashes) and hits, the places of every given shingle, of each document that has one; written once.
 
     Shingles that no item has are dropped in the batch that makes them, so that few rows leave a task.
     """
@@ -154,7 +156,7 @@ def matches(documents: DataFrame, shingle_ids: DataFrame, n: int = SHINGLE, leas
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bits = _Shingler(n), shared.value
         for batch in batches:
-            worded, text, at, h = shingler(batch.column("text").to_pylist())
+            worded, ids, text, at, h = shingler(batch.column("text").to_pylist())
             slot = h & ((1 << FILTER_BITS) - 1)
             hit = (bits[slot >> 6] >> (slot & 63)) & 1 > 0
             text, at, h = text[hit], at[hit], h[hit]
@@ -165,15 +167,16 @@ def matches(documents: DataFrame, shingle_ids: DataFrame, n: int = SHINGLE, leas
             first = np.flatnonzero(new)
             ats = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(at.astype(np.int32)))
             docs, count = np.unique(text[first], return_counts=True)
-            size = np.array([len(worded[k]) for k in docs.tolist()], np.int64)
+            every = np.array([len(w) for w in worded], np.int64)
+            size = every[docs]
             hits = pa.StructArray.from_arrays([pa.array(h[first]), ats], ["h", "ats"])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(docs)), pa.array(size), pa.array([worded[k] for k in docs.tolist()], pa.list_(pa.string())),
-                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), hits)],
-                ["doc_id", "n_words", "dw", "hits"],
+                 _split(ids[np.isin(np.repeat(np.arange(len(every)), every), docs)], size), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), hits)],
+                ["doc_id", "n_words", "dw", "dh", "hits"],
             )
 
-    schema = "doc_id bigint, n_words bigint, dw array<string>, hits array<struct<h:bigint, ats:array<int>>>"
+    schema = "doc_id bigint, n_words bigint, dw array<string>, dh array<bigint>, hits array<struct<h:bigint, ats:array<int>>>"
     return materialize(documents.select("doc_id", "text").mapInArrow(each, schema).where(F.col("n_words") >= least))
 
 
@@ -205,12 +208,25 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = SHINGLE, least: int =
         .groupBy("item_id", "doc_id").agg(F.collect_list(F.struct("ats", "i_ats")).alias("places"))
     )
 
-    def verify(item: pd.Series, document: pd.Series, places: pd.Series) -> pd.Series:
+    def by_hash(item: pd.Series, document: pd.Series, places: pd.Series) -> pd.Series:
         rows = zip(item, document, places, strict=True)
-        return pd.Series([leaked(list(i), list(d), [(p["ats"], p["i_ats"]) for p in ps], least, tolerance) for i, d, ps in rows])
-
+        return pd.Series([leaked(i, d, [(p["ats"], p["i_ats"]) for p in ps], least, tolerance) for i, d, ps in rows], dtype=bool)
+
+    def by_word(item: pd.Series, document: pd.Series, places: pd.Series) -> pd.Series:
+        out = []
+        for i, d, ps in zip(item, document, places, strict=True):
+            number = {w: k for k, w in enumerate(i)}
+            a, b = (np.array([number.get(w, -1) for w in x]) for x in (i, d))
+            out.append(leaked(a, b, [(p["ats"], p["i_ats"]) for p in ps], least, tolerance))
+        return pd.Series(out, dtype=bool)
+
+    # hashes of words sort out most candidates, the words themselves decide
+    near = (
+        candidates.join(found.select("doc_id", "dh"), "doc_id").join(broadcast_if_small(worded.select("item_id", "ih")), "item_id")
+        .where(F.pandas_udf(by_hash, "boolean")("ih", "dh", "places")).select("item_id", "doc_id", "places")
+    )
     checked = (
-        candidates.join(found.select("doc_id", "dw"), "doc_id").join(broadcast_if_small(worded.select("item_id", "iw")), "item_id")
-        .where(F.pandas_udf(verify, "boolean")("iw", "dw", "places"))
+        near.join(found.select("doc_id", "dw"), "doc_id").join(broadcast_if_small(worded.select("item_id", "iw")), "item_id")
+        .where(F.pandas_udf(by_word, "boolean")("iw", "dw", "places"))
     )
     return checked.select("item_id", "doc_id").distinct()
