@@ -7,6 +7,7 @@ the records that hang on an orphan.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,7 +101,7 @@ def direct_orphans(tables: dict[str, tuple[DataFrame, str]], graph: list[Referen
     return out
 
 
-def orphan_cascade(tables: dict[str, tuple[DataFrame, str]], graph: list[Reference], max_rounds: int = 100) -> DataFrame:
+def orphan_cascade(tables: dict[str, tuple[DataFrame, str]], graph: list[Reference]) -> DataFrame:
     """All direct orphan references at depth 0, and at depth n the references to records orphaned at depth n - 1.
 
     Returns child_table, child_id, field, ref_id, kind, arrived, depth; kind is `inherited` from depth 1 on. A record is
@@ -122,7 +123,7 @@ def orphan_cascade(tables: dict[str, tuple[DataFrame, str]], graph: list[Referen
     node = [F.col("child_table").alias("parent_table"), plain_key(F.col("child_id")).alias("ref_id")]
     seen = frontier = direct.select(*node).distinct()
     out = direct.drop("parent_table")
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         # a frontier key is unique and narrow; a hot parent is split by the lookup
         target = frontier.select(F.concat_ws("\u0001", "parent_table", "ref_id").alias("_key")).withColumn("_orphan", F.lit(True))
         hit = lookup_join(edges.withColumn("_key", F.concat_ws("\u0001", "parent_table", "ref_id")), target, "_key", "inner")

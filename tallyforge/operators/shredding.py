@@ -1,9 +1,9 @@
 """Columnar shredding of nested JSON records and reconstruction of flat child tables.
 
-Every record becomes one column per path: its values with a repetition level (at which array the value repeats; 0 starts
-a record) and a definition level (how much of the path is there). A path is written with `[]` behind every array, and
-with `{}` at its end for the column that tells which slots of an array hold an object. The level sequences alone give
-back every array element, its positions and its parent, so a table of any repeated ancestor needs only its own columns.
+Every record becomes one column per leaf path: its values with a repetition level (at which array the value repeats; 0 starts
+a record) and a definition level (how much of the path is there). A path is written with `[]` behind every array. The level
+sequences of the leaf columns alone give back every array element that is an object, its positions and its parent. Only where
+no object of an array has a value anywhere below is the array a leaf itself: its path then ends in `{}`.
 
 Null, broken or non-object JSON has no columns. Null fields and missing fields are the same; null elements keep their
 position. Of repeated field names the last one counts.
@@ -23,6 +23,7 @@ from tallyforge.session import spread
 
 _MISSING = object()
 _SURROGATE = re.compile("[\ud800-\udfff]")
+_FIELDS = ["path", "max_def", "reps", "defs", "vals"]
 COLUMNS = "array<struct<path:string, max_def:int, reps:array<int>, defs:array<int>, vals:array<string>>>"
 
 
@@ -51,8 +52,8 @@ def _unpack(value, name: str, single: frozenset, packed: frozenset):
     return [value] if name in single and isinstance(value, dict) else value
 
 
-def shred_record(text: str | None, single: frozenset, packed: frozenset, values: bool) -> list[tuple]:
-    """The columns of one record: (path, max_def, reps, defs, vals); without values only the columns ending in {}."""
+def shred_record(text: str | None, single: frozenset, packed: frozenset) -> list[tuple]:
+    """The columns of one record: (path, max_def, reps, defs, vals)."""
     if not text:
         return []
     try:
@@ -65,22 +66,17 @@ def shred_record(text: str | None, single: frozenset, packed: frozenset, values:
 
     def walk(path: str, depth: int, lists: int, entries: list[tuple]) -> None:
         # entries: (repetition, definition, value) of every place where this path could stand
+        element, before = path.endswith("[]"), len(out)
         names: dict[str, None] = {}
-        scalar = array = False
+        scalar = array = objects = False
         for _, _, v in entries:
             if isinstance(v, dict):
+                objects = True
                 names.update(dict.fromkeys(v))
             elif isinstance(v, list):
                 array = True
             elif v is not _MISSING and v is not None:
                 scalar = True
-        if names and path.endswith("[]"):
-            out.append((path + "{}", depth + 1, [e[0] for e in entries], [d + isinstance(v, dict) for _, d, v in entries], None))
-        elif path.endswith("[]") and any(isinstance(v, dict) for _, _, v in entries):  # only empty objects
-            out.append((path + "{}", depth + 1, [e[0] for e in entries], [d + isinstance(v, dict) for _, d, v in entries], None))
-        if scalar and values:
-            plain = [None if v is _MISSING or v is None or isinstance(v, dict | list) else _text(v) for _, _, v in entries]
-            out.append((path, depth, [e[0] for e in entries], [e[1] for e in entries], plain))
         if array:
             below = []
             for r, d, v in entries:
@@ -90,57 +86,143 @@ def shred_record(text: str | None, single: frozenset, packed: frozenset, values:
                 else:
                     below.append((r, d, _MISSING))
             walk(path + "[]", depth + 1, lists + 1, below)
+        inner = len(out)
         for name in names:
             below = []
             for r, d, v in entries:
                 x = _unpack(v[name], name, single, packed) if isinstance(v, dict) and name in v else None
-                below.append((r, d, _MISSING) if x is None else (r, d + 1 + path.endswith("[]"), x))
-            if values or any(isinstance(x, dict | list) for _, _, x in below):
-                walk(f"{path}.{_text(name)}" if path else _text(name), depth + 1 + path.endswith("[]"), lists, below)
+                here = d + (element and isinstance(v, dict))
+                below.append((r, here, _MISSING) if x is None else (r, here + 1, x))
+            walk(f"{path}.{_text(name)}" if path else _text(name), depth + 1 + element, lists, below)
+        if scalar:
+            plain = [None if v is _MISSING or v is None or isinstance(v, dict | list) else _text(v) for _, _, v in entries]
+            out.insert(before, (path, depth, [e[0] for e in entries], [e[1] for e in entries], plain))
+            inner += 1
+        if element and objects and len(out) == inner:
+            out.append((path + "{}", depth + 1, [e[0] for e in entries], [d + isinstance(v, dict) for _, d, v in entries], None))
 
     walk("", 0, 0, [(0, 0, record)])
     return out
 
 
-def positions(reps: Sequence[int], defs: Sequence[int], max_def: int, lists: int) -> list[tuple[int, list[int]]]:
-    """From the level sequences of a {} column: (slot, positions in every array on the way) of each object."""
-    at, out = [0] * lists, []
-    for slot, (r, d) in enumerate(zip(reps, defs, strict=True)):
+def levels(path: str) -> list[int]:
+    """For each array of a path the definition level from which its element is an object."""
+    level, out = 0, []
+    for piece in path.removesuffix("{}").split("."):
+        level += 1 + bool(out and last)
+        if out and last:
+            out[-1] = level - 1
+        last = 0
+        while piece.endswith("[]"):
+            piece = piece[:-2]
+            last += 1
+        for _ in range(last):
+            level += 1
+            out.append(10**9)  # an element that is an array or a plain value
+    if path.endswith("{}"):
+        out[-1] = level + 1
+    return out
+
+
+def slots(reps: Sequence[int], lists: int) -> Iterator[list[int]]:
+    """The positions in every array on the way, of every slot of a column; the list is changed in place."""
+    at = [0] * lists
+    for r in reps:
         if r:
             at[r - 1] += 1
             at[r:] = [0] * (lists - r)
         else:
-            at = [0] * lists
-        if d == max_def:
-            out.append((slot, at.copy()))
+            at[:] = [0] * lists
+        yield at
+
+
+def record_elements(columns: Sequence) -> list[tuple[str, str, str, str]]:
+    """(path, idx, parent path, parent idx) of every object in an array, from the level sequences of a record's columns."""
+    found: dict[tuple[str, str], tuple[str, str]] = {}
+    for c in columns:
+        path = c["path"]
+        lists = path.count("[]")
+        if not lists:
+            continue
+        need = levels(path)
+        ends = [m.end() for m in re.finditer(r"\[\]", path)]
+        plain = [path[:e].replace("[]", "") for e in ends]
+        up = ["", *plain[:-1]]
+        for d, at in zip(c["defs"], slots(c["reps"], lists), strict=True):
+            for k in range(lists):
+                if d >= need[k]:
+                    idx = "/".join(map(str, at[: k + 1]))
+                    if (plain[k], idx) not in found:
+                        found[plain[k], idx] = (up[k], "/".join(map(str, at[:k])))
+    return [(*key, *parent) for key, parent in found.items()]
+
+
+def record_table(columns: Sequence, path: str, fields: Sequence[str]) -> list[tuple[str, str, list]]:
+    """(idx, parent idx, values) of every element of the array path, given with its `[]`. A field that is a plain array gives JSON text."""
+    plain, lists = path.replace("[]", ""), path.count("[]")
+    values: dict[str, list] = {idx: [None] * len(fields) for p, idx, _, _ in record_elements([c for c in columns if c["path"].startswith(path)]) if p == plain}
+    by = {c["path"]: c for c in columns}
+    for k, field in enumerate(fields):
+        c = by.get(f"{path}.{field}")
+        if c is not None:
+            for v, at in zip(c["vals"], slots(c["reps"], lists), strict=True):
+                if v is not None:
+                    values["/".join(map(str, at))][k] = v
+        c = by.get(f"{path}.{field}[]")
+        if c is not None and c["vals"] is not None:
+            many: dict[str, list] = {}
+            for v, at in zip(c["vals"], slots(c["reps"], lists + 1), strict=True):
+                if v is not None:
+                    many.setdefault("/".join(map(str, at[:lists])), []).append(v)
+            for idx, vs in many.items():
+                values[idx][k] = json.dumps(vs, ensure_ascii=False)
+    return [(idx, idx.rpartition("/")[0], v) for idx, v in values.items()]
+
+
+def record_values(columns: Sequence) -> list[tuple]:
+    """Every plain value in an element: path, idx, parent path, parent idx, field, positions in plain arrays below, value."""
+    out = []
+    for c in columns:
+        m = re.match(r"^(.*\[\])\.(.+)$", c["path"])
+        if m is None or c["vals"] is None:
+            continue
+        own, lists = m[1], c["path"].count("[]")
+        depth = own.count("[]")
+        head = own.removesuffix("[]")
+        up = head[: head.rfind("[]") + 2].replace("[]", "") if "[]" in head else ""
+        for v, at in zip(c["vals"], slots(c["reps"], lists), strict=True):
+            if v is not None:
+                places = [str(x) for x in at]
+                out.append((own.replace("[]", ""), "/".join(places[:depth]), up, "/".join(places[: depth - 1]), m[2].replace("[]", ""), "/".join(places[depth:]), v))
     return out
 
 
-def shred(df: DataFrame, ids: list[str], column: str, single: Sequence[str] = (), packed: Sequence[str] = (), values: bool = True) -> DataFrame:
-    """ids and one row per column of each record: path, max_def, reps, defs, vals.
+def shred(df: DataFrame, ids: list[str], column: str, single: Sequence[str] = (), packed: Sequence[str] = ()) -> DataFrame:
+    """ids and the columns of each record: an array of path, max_def, reps, defs, vals. Records without columns are left out.
 
     single: names of fields where an object stands for an array of one. packed: names of fields that may hold JSON text.
-    values=False leaves out all columns but those that tell where array elements are.
     """
     one, text = frozenset(single), frozenset(packed)
 
     @F.pandas_udf(COLUMNS)
     def columns(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([shred_record(x, one, text, values) for x in batch], dtype=object)
+            yield pd.Series([[dict(zip(_FIELDS, c, strict=True)) for c in shred_record(x, one, text)] for x in batch], dtype=object)
 
-    return spread(df.select(*ids, column)).select(*ids, F.explode(columns(F.col(column))).alias("_c")).select(*ids, "_c.*")
+    return spread(df.where(F.col(column).isNotNull()).select(*ids, column)).select(*ids, columns(F.col(column)).alias("columns"))
 
 
-def _positions() -> Column:
-    def each(path: pd.Series, max_def: pd.Series, reps: pd.Series, defs: pd.Series) -> pd.Series:
-        return pd.Series([positions(r, d, m, p.count("[]")) for p, m, r, d in zip(path, max_def, reps, defs, strict=True)], dtype=object)
+def _each(kind: str, f, *args) -> Column:
+    """The rows that f makes of a record's columns."""
 
-    return F.pandas_udf(each, "array<struct<slot:int, at:array<int>>>")("path", "max_def", "reps", "defs")
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([f(x, *args) for x in batch], dtype=object)
 
+    return F.pandas_udf(each, f"array<struct<{kind}>>")(F.col("columns"))
 
-def _plain(path: Column) -> Column:
-    return F.regexp_replace(path, r"\[\]|\{\}$", "")
+
+_LINK = "path:string, idx:string, parent_path:string, parent_idx:string"
 
 
 def elements(columns: DataFrame, ids: list[str]) -> DataFrame:
@@ -149,15 +231,7 @@ def elements(columns: DataFrame, ids: list[str]) -> DataFrame:
     path has the field names joined by `.`, idx the positions in every array on the way joined by `/`. The parent is the
     array element around it; objects in top-level arrays have the record itself as parent: parent_path and parent_idx ''.
     """
-    found = columns.where(F.col("path").endswith("{}")).select(*ids, "path", F.explode(_positions()).alias("_e"))
-    up = F.regexp_extract("path", r"^(.*\[\])[^\[]*\[\]\{\}$", 1)
-    return found.select(
-        *ids,
-        _plain(F.col("path")).alias("path"),
-        F.array_join(F.col("_e.at").cast("array<string>"), "/").alias("idx"),
-        _plain(up).alias("parent_path"),
-        F.array_join(F.slice(F.col("_e.at").cast("array<string>"), F.lit(1), F.size("_e.at") - 1), "/").alias("parent_idx"),
-    )
+    return columns.select(*ids, F.inline(_each(_LINK, record_elements)))
 
 
 def child_values(columns: DataFrame, ids: list[str]) -> DataFrame:
@@ -166,40 +240,16 @@ def child_values(columns: DataFrame, ids: list[str]) -> DataFrame:
     Each array element has one row without field, and one more for each plain value below it that lies in no element of a
     deeper array. field is the path below the element. Values in a plain array have their positions in it as pos, others ''.
     """
-    inside, element = r"^(.*\[\])\.(.+)$", F.col("vals").isNull()
-    found = columns.where(element | F.col("path").rlike(inside)).select(*ids, "path", "vals", F.explode(_positions()).alias("_e"))
-    own = F.when(element, F.regexp_replace("path", r"\{\}$", "")).otherwise(F.regexp_extract("path", inside, 1))
-    at, value = F.col("_e.at").cast("array<string>"), F.get("vals", F.col("_e.slot"))
-    depth = F.size(F.split(own, r"\[\]")) - 1
-    return found.where(element | value.isNotNull()).select(
-        *ids,
-        _plain(own).alias("path"),
-        F.array_join(F.slice(at, F.lit(1), depth), "/").alias("idx"),
-        _plain(F.regexp_extract(own, r"^(.*\[\])[^\[]*\[\]$", 1)).alias("parent_path"),
-        F.array_join(F.slice(at, F.lit(1), depth - 1), "/").alias("parent_idx"),
-        F.when(~element, _plain(F.regexp_extract("path", inside, 2))).alias("field"),
-        F.when(~element, F.array_join(F.slice(at, depth + 1, F.size(at)), "/")).alias("pos"),
-        value.alias("value"),
-    )
+    def rows(c: Sequence) -> list[tuple]:
+        return [(*x, None, None, None) for x in record_elements(c)] + record_values(c)
+
+    return columns.select(*ids, F.inline(_each(_LINK + ", field:string, pos:string, value:string", rows)))
 
 
 def child_table(columns: DataFrame, ids: list[str], path: str, fields: Sequence[str]) -> DataFrame:
     """The flat table of one repeated ancestor, given with its `[]`: ids, idx, parent_idx and the fields as strings.
 
-    Fields are paths below the ancestor without arrays; absent ones are null. The columns of one record are side by
-    side after one aggregation by ids, and values pair with array slots by their place in the sequence.
+    Fields are paths below the ancestor; absent ones are null, and plain arrays are JSON text.
     """
-    slot = F.col("_e.slot") + 1
-    wanted = [f"{path}.{f}" for f in fields]
-    mine = columns.where(F.col("path").isin([path + "{}", *wanted]))
-    wide = mine.groupBy(*ids).agg(
-        *[F.first(F.when(F.col("path") == path + "{}", F.col(c)), ignorenulls=True).alias(c) for c in ("path", "max_def", "reps", "defs")],
-        *[F.first(F.when(F.col("path") == p, F.col("vals")), ignorenulls=True).alias(f"_v{i}") for i, p in enumerate(wanted)],
-    ).where("path is not null")
-    at = F.col("_e.at").cast("array<string>")
-    return wide.withColumn("_e", F.explode(_positions())).select(
-        *ids,
-        F.array_join(at, "/").alias("idx"),
-        F.array_join(F.slice(at, F.lit(1), F.size(at) - 1), "/").alias("parent_idx"),
-        *[F.get(f"_v{i}", slot - 1).alias(f.replace(".", "_")) for i, f in enumerate(fields)],
-    )
+    rows = columns.select(*ids, F.inline(_each("idx:string, parent_idx:string, vals:array<string>", record_table, path, list(fields))))
+    return rows.select(*ids, "idx", "parent_idx", *[F.get("vals", F.lit(i)).alias(f.replace(".", "_")) for i, f in enumerate(fields)])

@@ -89,14 +89,14 @@ IDS = ["src", "row_id"]
 @R.add()
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every object that is an element of an array in raw_json."""
-    columns = shredding.shred(_records(spark, folder), IDS, "raw_json", ARRAYS, PACKED, values=False)
+    columns = shredding.shred(_records(spark, folder), IDS, "raw_json", ARRAYS, PACKED)
     return shredding.elements(columns, IDS).select(*IDS, "path", "idx").distinct()
 
 
 @R.add()
 def p4_links(spark: SparkSession, folder: str) -> DataFrame:
     """Every array element with its parent element."""
-    columns = shredding.shred(_records(spark, folder), IDS, "raw_json", ARRAYS, PACKED, values=False)
+    columns = shredding.shred(_records(spark, folder), IDS, "raw_json", ARRAYS, PACKED)
     return shredding.elements(columns, IDS).distinct()
 
 
@@ -107,17 +107,32 @@ def p4_children(spark: SparkSession, folder: str) -> DataFrame:
     return shredding.child_values(columns, IDS).distinct()
 
 
-@R.add()
-def p4_findings(spark: SparkSession, folder: str) -> DataFrame:
-    """The flat table of findings in the files of validation runs."""
-    records = _records(spark, folder).dropDuplicates(IDS)
-    columns = shredding.shred(records, IDS, "raw_json", ARRAYS, PACKED)
-    return shredding.child_table(columns, IDS, "validation.runs[].result.files[].findings[]", ["rule_id", "severity", "line"])
+# The kinds of children, with the table, array and fields of each.
+KINDS = {
+    "labels": ("issues", "labels[]", ["id", "name", "color"]),
+    "assignees": ("issues", "assignees[]", ["id", "login", "type"]),
+    "issue_reactions": ("issues", "reactions.nodes[]", ["content", "user.id", "user.login", "user.type"]),
+    "runs": ("issues", "validation.runs[]", ["run_id", "commit", "result.ok"]),
+    "history": ("issues", "validation.runs[].history[]", ["state", "at"]),
+    "files": ("issues", "validation.runs[].result.files[]", ["path", "mode", "size"]),
+    "findings": ("issues", "validation.runs[].result.files[].findings[]", ["rule_id", "severity", "line", "notes"]),
+    "related": ("issues", "validation.runs[].result.files[].findings[].related[]", ["path", "span.from", "span.to"]),
+    "comment_reactions": ("comments", "reactions.nodes[]", ["content", "user.id", "user.login", "user.type"]),
+    "edits": ("comments", "edits[]", ["edited_at", "editor.id", "editor.login", "editor.type"]),
+    "changes": ("comments", "edits[].changes[]", ["field", "size.before", "size.after"]),
+}
 
 
-@R.add()
-def p4_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """The flat table of label objects."""
-    records = _records(spark, folder).dropDuplicates(IDS)
-    columns = shredding.shred(records, IDS, "raw_json", ARRAYS, PACKED)
-    return shredding.child_table(columns, IDS, "labels[]", ["id", "name", "color"])
+def _flat(kind: str):
+    src, path, fields = KINDS[kind]
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        columns = shredding.shred(_records(spark, folder).where(F.col("src") == src), IDS, "raw_json", ARRAYS, PACKED)
+        return shredding.child_table(columns, IDS, path, fields).distinct()
+
+    query.__name__, query.__doc__ = f"p4_{kind}", f"The flat table of {path} of {src}, each row with the place of its parent."
+    return query
+
+
+for _kind in KINDS:
+    R.add()(_flat(_kind))

@@ -50,3 +50,9 @@ def test_hot_key(spark):
     children = [(f"c{i}", "hot" if i % 3 == 0 else f"k{i % 60}", None, day(2)) for i in range(600)]
     got = found(spark, parents, children, GRAPH)
     assert {x[3] for x in got} == {f"k{i}" for i in range(50, 60) if any(j % 60 == i and j % 3 for j in range(600))}
+
+
+def test_long_cascades_end_only_when_nothing_is_left(spark):
+    parents = [(f"n{i}", f"n{i - 1}" if i else "gone", day(1), None) for i in range(30)]
+    got = found(spark, parents, [], GRAPH)
+    assert {(x[1], x[5]) for x in got} == {(f"n{i}", i) for i in range(30)}
