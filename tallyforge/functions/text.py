@@ -82,3 +82,27 @@ def path_segments(path: Column) -> Column:
 def unfenced(text: Column) -> Column:
     """Text without one code fence around it."""
     return F.regexp_replace(F.trim(text), r"(?s)^```[a-z]*\s*\n(.*?)\n?```$", "$1")
+
+
+def safe_path(path: Column) -> Column:
+    """Whether a path is relative and stays where it is: no leading slash, drive, back slash, zero, and no empty, `.` or `..` step; false for null."""
+    steps = F.filter(F.split(path, "/"), lambda s: s.isin("", ".", ".."))
+    return F.coalesce(~path.rlike(r"^/|^[A-Za-z]:|\\|\x00") & (F.size(steps) == 0), F.lit(False))
+
+
+def preferred(values: Column, order: list[str]) -> Column:
+    """The element that stands first in order; elements not listed come behind, by name. Null for none."""
+    known = F.array(*[F.lit(x) for x in order])
+    place = F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.struct(F.coalesce(F.nullif(F.array_position(known, v), F.lit(0)), F.lit(len(order) + 1)).alias("p"), v.alias("v")))
+    return F.array_min(place)["v"]
+
+
+def release_tag(tag: Column) -> Column:
+    """A release tag if it is a proper one: at most 256 characters, none of them control characters, marks of direction, line separators or halves of pairs; else null."""
+    return F.when((F.length(tag).between(1, 256)) & ~tag.rlike(r"[\x{0}-\x{1f}\x{7f}-\x{9f}\x{61c}\x{200e}\x{200f}\x{2028}-\x{202e}\x{2066}-\x{2069}]"), tag)
+
+
+def pointer_key(pointer: Column) -> Column:
+    """The last name of a JSON pointer such as `$.statistics.records`; null if it is none."""
+    form = r"^\$(?:\.[A-Za-z_][A-Za-z0-9_]*)*\.([A-Za-z_][A-Za-z0-9_]*)$"
+    return F.when(pointer.rlike(form), F.regexp_extract(pointer, form, 1))

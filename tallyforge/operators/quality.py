@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,18 @@ def not_bijective(df: DataFrame, a: str, b: str) -> DataFrame:
         return pairs.groupBy(F.col(x).cast("string").alias("value")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(side).alias("side"), "value", "n")
 
     return several(a, "a").unionByName(several(b, "b"))
+
+
+def field_changes(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """field, n_changed, n_rows: field by field, how many rows of old differ from the row of new with their key. Nulls are equal to each other."""
+    renamed = new.select(key, *[F.col(f).alias(f"_new_{i}") for i, f in enumerate(fields) if f != key])
+    changed = [F.struct(F.lit(f).alias("field"), (F.lit(False) if f == key else ~F.col(f).eqNullSafe(F.col(f"_new_{i}"))).alias("c")) for i, f in enumerate(fields)]
+    rows = old.join(renamed, key).select(F.inline(F.array(*changed)))
+    return rows.groupBy("field").agg(F.count_if("c").alias("n_changed"), F.count("*").alias("n_rows"))
+
+
+def configured_order(df: DataFrame, name: str, order: Sequence[str], place: str) -> DataFrame:
+    """df, a short list of distinct names, with their place: names in the configured order first, all others by name as a dictionary sorts them."""
+    known = F.array(*[F.lit(x) for x in order])
+    rank = F.coalesce(F.nullif(F.array_position(known, F.col(name)), F.lit(0)), F.lit(len(order) + 1))
+    return df.withColumn(place, F.row_number().over(Window.orderBy(rank, F.collate(F.col(name), "UNICODE"))) - 1)

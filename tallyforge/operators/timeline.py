@@ -83,3 +83,22 @@ def since_change(df: DataFrame, group: str, ts: str, id: str, value: str, bucket
     carried = rows.groupBy(group, b).agg(F.max("__tf_moved").alias("__tf_last")).withColumn("__tf_far", F.max("__tf_last").over(earlier)).drop("__tf_last")
     near = rows.withColumn("__tf_near", F.max("__tf_moved").over(within))
     return near.join(carried, [group, b]).withColumn("changed_at", F.coalesce("__tf_near", "__tf_far")).select(*df.columns, "changed_at")
+
+
+def first_differences(totals: DataFrame, day: str, total: str) -> DataFrame:
+    """totals, one row a day, with change (the first row's is its total) and follows (the day before is there, or it is the first)."""
+    order = Window.orderBy(day)
+    last = F.lag(day).over(order)
+    return totals.withColumns({"change": F.col(total) - F.coalesce(F.lag(total).over(order), F.lit(0)), "follows": F.coalesce(F.date_diff(F.col(day), last) == 1, F.lit(True))})
+
+
+def last_before(events: DataFrame, group: str, order: str, asks: Column, known: Column, bucket: Column) -> DataFrame:
+    """group, order, before for every row where asks holds: the order of the last earlier row of its group where known holds.
+
+    order is unique within a group and bucket a coarse part of it: windows run within a bucket, one row a bucket carries on.
+    """
+    rows = events.select(group, order, asks.alias("_ask"), F.when(known, F.col(order)).alias("_known"), bucket.alias("_b"))
+    near = rows.withColumn("_near", F.max("_known").over(Window.partitionBy(group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))).where("_ask")
+    lasts = rows.groupBy(group, "_b").agg(F.max("_known").alias("_last"))
+    far = lasts.withColumn("_far", F.max("_last").over(Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    return near.join(far, [group, "_b"]).select(group, order, F.coalesce("_near", "_far").alias("before"))
