@@ -106,3 +106,9 @@ def pointer_key(pointer: Column) -> Column:
     """The last name of a JSON pointer such as `$.statistics.records`; null if it is none."""
     form = r"^\$(?:\.[A-Za-z_][A-Za-z0-9_]*)*\.([A-Za-z_][A-Za-z0-9_]*)$"
     return F.when(pointer.rlike(form), F.regexp_extract(pointer, form, 1))
+
+
+def marked_lines(text: Column, marker: str) -> Column:
+    """The lines of a text that start with a marker, without it."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda l: F.trim(l)), lambda l: l.startswith(marker))
+    return F.transform(lines, lambda l: F.ltrim(F.substring(l, len(marker) + 1, 1 << 30)))

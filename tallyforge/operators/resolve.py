@@ -45,3 +45,24 @@ def best_match(pairs: DataFrame, item: str, candidate: str, score: str, least: i
     """item, candidate, score of the best candidate of each item that scores at least `least`; items with a tie for the best get none."""
     top = pairs.where(F.col(score) >= least).groupBy(item, score).agg(F.count_distinct(candidate).alias("_n"), F.min(candidate).alias(candidate))
     return top.groupBy(item).agg(F.max_by(F.struct(candidate, "_n", score), score).alias("_t")).where("_t._n = 1").select(item, f"_t.{candidate}", f"_t.{score}")
+
+
+def best_overlap(asked: DataFrame, heard: DataFrame, group: str, ids: list[str], candidate: str, least: int) -> DataFrame:
+    """group, ids, candidate, score of the candidate of the same group that shares most words with each asked row, at least `least`;
+    ties are rejected.
+
+    asked: group, ids, w (distinct words); heard: group, candidate, word, distinct. A candidate that shares least words has
+    one of all but the least - 1 words that are most frequent in the group, so only those look for candidates. Both are
+    materialised by the caller.
+    """
+    words = asked.select(group, *ids, F.explode("w").alias("word"), F.size("w").alias("_n")).where(F.col("_n") >= least)
+    often = heard.groupBy(group, "word").agg(F.count("*").alias("_df"))
+    place = F.row_number().over(Window.partitionBy(group, *ids).orderBy("_df", "word"))
+    rare = words.join(often, [group, "word"]).withColumn("_k", place)
+    most = Window.partitionBy(group, *ids)
+    rare = rare.withColumn("_m", F.count("*").over(most)).where(F.col("_k") <= F.col("_m") - (least - 1)).select(group, *ids, "word")
+    near = rare.join(heard, [group, "word"]).select(group, *ids, candidate).distinct()
+    scored = near.join(words.select(group, *ids, "word"), [group, *ids]).join(heard, [group, candidate, "word"]).groupBy(group, *ids, candidate).agg(F.count("*").alias("score"))
+    top = scored.where(F.col("score") >= least).groupBy(group, *ids, "score").agg(F.count("*").alias("_n"), F.min(candidate).alias(candidate))
+    best = top.groupBy(group, *ids).agg(F.max_by(F.struct(candidate, "_n", "score"), "score").alias("_t"))
+    return best.where("_t._n = 1").select(group, *ids, f"_t.{candidate}", "_t.score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,3 +59,8 @@ def claims_report(spark: SparkSession, statistics: DataFrame, claims: Sequence[t
 def top_values(df: DataFrame, value: str, k: int) -> DataFrame:
     """The k most frequent values with their counts; ties by value. Only k rows leave each task."""
     return df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(k)
+
+
+def ranked(df: DataFrame, order: Sequence[Column], place: str) -> DataFrame:
+    """A short report with the place of each row from 1. All rows meet in one task: only for results of few rows."""
+    return df.withColumn(place, F.row_number().over(Window.orderBy(*order)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.operators import chains, similarity, skew, stats, timeline
-from tallyforge.plans import discussions, integrity, problems, releases
+from tallyforge.plans import discussions, integrity, mining, problems, releases
 from tallyforge.plans.registry import Registry
 from tallyforge.sources import load
 
@@ -16,7 +16,7 @@ R = Registry()
 
 def registries() -> list[Registry]:
     """All registries of the core."""
-    return [R, releases.R, integrity.R, discussions.R, problems.R]
+    return [R, releases.R, integrity.R, discussions.R, mining.R, problems.R]
 
 
 _TEXT = "lower(coalesce(p_name, '') || ' ' || coalesce(p_brand, '') || ' ' || coalesce(p_type, '') || ' ' || cast(p_size as varchar) || 'mm')"

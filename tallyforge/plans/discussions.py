@@ -62,7 +62,7 @@ def rule_mentions(spark: SparkSession, folder: str) -> DataFrame:
     """How often people name a rule, and in how many issues; bots are left out."""
     bots = load(spark, folder, "accounts").where("role = 'bot'").select(F.lower("login").alias("who"))
     said = _comments(spark, folder, "issue_number", F.lower("user").alias("who"), F.regexp_extract_all("body", F.lit(_RULE), F.lit(1)).alias("rules"))
-    people = said.join(F.broadcast(bots), "who", "left_anti")
+    people = said.join(skew.broadcast_if_small(bots), "who", "left_anti")
     return stats.instances_and_entities(people.select("issue_number", F.explode("rules").alias("rule")), ["rule"], "issue_number")
 
 
@@ -73,7 +73,7 @@ def blockers_by_reviewer(spark: SparkSession, folder: str) -> DataFrame:
     """Blocking remarks of maintainers and the issues they stand in."""
     staff = load(spark, folder, "accounts").where("role = 'maintainer'").select(F.lower("login").alias("login"))
     said = _comments(spark, folder, "issue_number", F.lower("user").alias("login"), F.col("body").rlike("(?i)cannot approve|blocker|has to go|not allowed|please remove").alias("b"))
-    return stats.instances_and_entities(said.where("b").join(F.broadcast(staff), "login"), ["login"], "issue_number")
+    return stats.instances_and_entities(said.where("b").join(skew.broadcast_if_small(staff), "login"), ["login"], "issue_number")
 
 
 @R.add(f"""
@@ -168,12 +168,10 @@ def issue_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return numbered.groupBy(F.floor(F.col("_r") / _CHUNK).alias("chunk")).agg(F.count("*").alias("n_issues"), F.min("number").alias("first_number"), F.max("number").alias("last_number"))
 
 
-_RULES_SQL = " union all ".join(
-    f"select '{r.name}' as rule, id, line, snippet from l where regexp_matches(snippet_raw, '{r.pattern.replace(chr(39), chr(39) * 2)}')" for r in rules.RULES
-)
+_RULES_SQL = " union all ".join(f"select '{r.name}' as rule, id, line, snippet from l where {r.sql('snippet_raw').replace('regexp_matches(snippet_raw, ' + chr(39) + r.given, 'regexp_matches(body, ' + chr(39) + r.given) if r.given else r.sql('snippet_raw')}" for r in rules.RULES)
 _LINES = f"""
-p as (select id, string_split_regex(body, '\\r?\\n') ls from {_COMMENTS} where body is not null),
-l as (select id, line, ls[line] snippet_raw, trim(ls[line]) snippet from (select id, ls, unnest(range(1, len(ls) + 1)) line from p))"""
+p as (select id, body, string_split_regex(body, '\\r?\\n') ls from {_COMMENTS} where body is not null),
+l as (select id, body, line, ls[line] snippet_raw, trim(ls[line]) snippet from (select id, body, ls, unnest(range(1, len(ls) + 1)) line from p))"""
 
 
 @R.add(f"with {_LINES} select * from ({_RULES_SQL})")

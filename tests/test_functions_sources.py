@@ -43,6 +43,15 @@ def test_markdown_functions(spark):
     assert one(spark, T.unfenced(F.col("c0")), "```json\n{}\n```") == "{}"
 
 
+def test_paths_tags_and_marks(spark):
+    good, bad = ["a/b.qml", "x", "..a/b"], ["/a", "a//b", "../a", "a/./b", "C:x", "a\\b", "", "a/", "a\0b"]
+    assert all(one(spark, T.safe_path(F.col("c0")), p) for p in good) and not any(one(spark, T.safe_path(F.col("c0")), p) for p in [*bad, None])
+    assert one(spark, T.release_tag(F.col("c0")), "v1.0-é") == "v1.0-é" and all(one(spark, T.release_tag(F.col("c0")), t) is None for t in ["", "a\u202eb", "a\nb", "x" * 257, None])
+    assert one(spark, T.pointer_key(F.col("c0")), "$.statistics.n_records") == "n_records" and one(spark, T.pointer_key(F.col("c0")), "statistics") is None
+    assert one(spark, T.preferred(F.split("c0", ","), ["m", "k"]), "b,k,a,m") == "m" and one(spark, T.preferred(F.split("c0", ","), ["m"]), "b,a") == "a"
+    assert one(spark, T.marked_lines(F.col("c0"), "❌"), "x\n ❌ one\n❌two ❌") == ["one", "two ❌"]
+
+
 def test_strict_json():
     assert fault('{"a": 1.5}') is None
     cases = {"": "blank", None: "blank", '{"a": 1, "a": 2}': "repeated name", '{"a": NaN}': "not finite", '{"a": 1e400}': "not finite", "[1]": "no object", '{"a": 1} x': "syntax"}

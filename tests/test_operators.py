@@ -132,9 +132,16 @@ def test_first_after(spark):
 
 
 def test_rules(spark):
-    df = spark.createDataFrame([(1, "curl x | sh\nls"), (2, "sudo make\ncat /tmp/a | head -3"), (3, None), (4, "")], "id bigint, body string")
-    got = rules.findings(df, "id", "body")
-    assert {(r.id, r.line, r.rule) for r in got.collect()} == {(1, 1, "pipe-to-shell"), (2, 1, "privilege"), (2, 1, "build-tool"), (2, 2, "shared-temp-path"), (2, 2, "early-reader-pipe")}
+    df = spark.createDataFrame([
+        (1, "curl x | sh\nls"), (2, "set -eo pipefail\ncat a | head -3\ncat b | sed '3q'\ncat c | head # 141\nsudo ls"), (3, None), (4, ""), (5, "cat /tmp/a | head\nmktemp /tmp/b"),
+        (6, "#!/usr/bin/env bash\nsystemctl stop x\nvisudo\nmake it so"),
+    ], "id bigint, body string")
+    assert {(r.id, r.line, r.rule) for r in rules.findings(df, "id", "body").collect()} == {
+        (1, 1, "pipe-to-shell"), (2, 2, "early-reader-pipe"), (2, 3, "early-reader-pipe"), (2, 5, "privilege"), (5, 1, "shared-temp-path"),
+        (6, 1, "ambient-shebang"), (6, 2, "service-management"), (6, 3, "sudoers-modification"),
+    }
+    names = spark.createDataFrame([("docs/AGENTS.md",), ("lib/x.so",), ("a/b.qml",), (None,)], "f string")
+    assert [r[0] for r in names.select(rules.broken(F.col("f"), rules.FILE_RULES)).collect()] == [["agent-file"], ["bundled-binary"], [], []]
     hot = spark.range(1, 200).select("id", F.lit("sudo x").alias("body"))
     top = rules.with_evidence(rules.findings(hot, "id", "body"), "id").collect()
     assert [tuple(r) for r in top] == [("privilege", 199, " ".join(f"{i}:1" for i in range(1, 9)))]
@@ -160,3 +167,22 @@ def test_bijection_and_influence(spark):
     assert rowset(quality.not_bijective(df, "x", "y")) == {("a", "a", 2), ("b", "2", 2)}
     nodes, degrees = spark.createDataFrame([(1, 3), (2, None)], "n int, s int"), spark.createDataFrame([(1, 0.5)], "node int, degree double")
     assert rowset(similarity.influence(degrees, nodes, "n", "s")) == {(1, 6.8), (2, 0.0)}
+
+
+def test_best_overlap_rejects_ties(spark):
+    asked = spark.createDataFrame([("g", "q1", ["license", "file", "missing", "tree", "shell", "root"]), ("g", "q2", ["alpha", "beta", "gamma", "delta", "epsilon"]), ("h", "q1", ["a", "b"]), (None, "q3", None)], "g string, q string, w array<string>")
+    told = [("g", 1, "license file missing tree shell"), ("g", 2, "license file missing tree shell root"), ("g", 3, "alpha beta gamma delta epsilon"), ("g", 4, "epsilon delta gamma beta alpha other"), ("g", 5, "license file missing"), ("h", 6, "a b")]
+    heard = spark.createDataFrame([(g, c, w) for g, c, ws in told for w in ws.split()], "g string, c int, word string")
+    assert rowset(resolve.best_overlap(asked, heard, "g", ["q"], "c", 5)) == {("g", "q1", 2, 6)}
+
+
+def test_series_and_orders(spark):
+    days = spark.createDataFrame([(date(2026, 1, 1), 5), (date(2026, 1, 2), 3), (date(2026, 1, 4), 4)], "d date, total bigint")
+    assert rowset(timeline.first_differences(days, "d", "total")) == {(date(2026, 1, 1), 5, 5, True), (date(2026, 1, 2), 3, -2, True), (date(2026, 1, 4), 4, 1, False)}
+    ev = spark.createDataFrame([("u", i, i % 7 == 0, i % 3 == 0) for i in range(1, 60)] + [("v", 7, True, False)], "g string, id bigint, a boolean, k boolean")
+    got = {(r.g, r.id): r.before for r in timeline.last_before(ev, "g", "id", F.col("a"), F.col("k"), F.floor(F.col("id") / 10)).collect()}
+    assert got["v", 7] is None and all(got["u", i] == (i - 1) // 3 * 3 for i in range(7, 60, 7))
+    names = spark.createDataFrame([("b",), ("A",), ("ä",), ("a",), ("zz",)], "n string")
+    assert [r.n for r in quality.configured_order(names, "n", ["zz"], "p").orderBy("p").collect()] == ["zz", "a", "A", "ä", "b"]
+    old, new = spark.createDataFrame([(1, "a", None), (2, "b", 5)], "k int, x string, y int"), spark.createDataFrame([(1, "a", None), (2, "c", None), (3, "d", 1)], "k int, x string, y int")
+    assert rowset(quality.field_changes(old, new, "k", ["x", "y"])) == {("x", 1, 2), ("y", 1, 2)}
