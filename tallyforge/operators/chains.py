@@ -16,7 +16,7 @@ def faults(edges: DataFrame) -> DataFrame:
     return out.unionByName(into)
 
 
-def positions(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def positions(edges: DataFrame) -> DataFrame:
     """node, root, depth for every node of chains without faults; nodes on a cycle have a null root and depth.
 
     Pointer doubling: each round doubles the distance that a node's pointer spans, so chains of length n take log2 n
@@ -25,17 +25,15 @@ def positions(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     back = edges.where("src is not null and dst is not null").select(F.col("dst").alias("node"), F.col("src").alias("up")).distinct()
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).where("node is not null").distinct()
     state = materialize(nodes.join(back, "node", "left").withColumn("steps", F.when(F.col("up").isNotNull(), 1).otherwise(0)).withColumn("up", F.coalesce("up", "node")))
-    total = state.count()
+    total = state.count()  # of a written table: read from its footers
     span = 1
-    for _ in range(max_rounds):
-        if span > total:
-            break
+    while span <= total:
         jump = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"))
-        nxt = materialize(state.join(jump, "up").select("node", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps")))
-        settled = nxt.join(state.select("node", F.col("up").alias("_was")), "node").where("up <> _was").isEmpty()
-        state, span = nxt, span * 2
-        if settled:
+        state = materialize(state.join(jump, "up").select("node", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("_up") != F.col("up")).alias("moved")))
+        span *= 2
+        if state.where("moved").isEmpty():
             break
+    state = state.select("node", "up", "steps")
     roots = nodes.join(back.select("node"), "node", "left_anti").select(F.col("node").alias("up"), F.lit(True).alias("_root"))
     return state.join(roots, "up", "left").select(
         "node", F.when(F.col("_root"), F.col("up")).alias("root"), F.when(F.col("_root"), F.col("steps")).alias("depth")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.skew import broadcast_if_small
+from tallyforge.session import materialize
 
 
 def tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:
@@ -30,21 +31,37 @@ def vectors(docs: DataFrame, key: str, tokens_column: str) -> DataFrame:
     return raw.join(norm, key).where("w > 0").select(key, "token", F.round(F.col("w") / F.col("_norm"), 12).alias("w"))
 
 
-def neighbours(vec: DataFrame, key: str, queries: Column, k: int = 4, least: float = 0.075) -> DataFrame:
+def neighbours(vec: DataFrame, key: str, queries: DataFrame, k: int = 4, least: float = 0.075, clusters: DataFrame | None = None, bonus: float = 0.0) -> DataFrame:
     """query, match, sim, place: the k most similar texts of each query text; equal similarities by key.
 
-    queries says which keys are asked; they are searched against all. Queries must be classes of equal texts or a stated
-    part of all keys: every pair of a query and a text that share a token is scored once.
+    vec: key, token, w, written once by the caller. queries: the keys that are asked, one column; they are searched against
+    all. They must be classes of equal texts or a stated part of all keys. clusters (key, cluster) adds `bonus` to pairs of one
+    cluster; pairs without a common token are never similar enough.
+
+    Only a query's heavy tokens look for matches: tokens are taken in order of their weight times the greatest weight that
+    any text gives them, the most promising first, until those left together can't reach the least similarity. Pairs found are
+    then scored over all tokens. Tokens that hold much of all rows are split over tasks by the optimizer's skew handling, as
+    they are joined by equality with a side that is small a token.
     """
-    asked = vec.where(queries).select(F.col(key).alias("query"), "token", F.col("w").alias("_q"))
+    asked = vec.join(broadcast_if_small(queries.select(F.col(key)).distinct()), key, "left_semi").select(F.col(key).alias("query"), "token", F.col("w").alias("_q"))
+    bound = vec.groupBy("token").agg(F.max("w").alias("_max"))
+    reach = F.sum(F.col("_q") * F.col("_max")).over(Window.partitionBy("query").orderBy(F.col("_q") * F.col("_max"), "token"))
+    seeds = asked.join(bound, "token").withColumn("_rest", reach).where(F.col("_rest") + bonus + 1e-6 >= least).select("query", "token")
+    asked = materialize(asked)
+    pairs = vec.join(broadcast_if_small(materialize(seeds)), "token").where(F.col(key) != F.col("query")).select("query", F.col(key).alias("match")).distinct()
+    mine = asked.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("token", "_q"))).alias("_tokens"))
     scored = (
-        vec.join(broadcast_if_small(asked), "token")
-        .where(F.col(key) != F.col("query"))
-        .groupBy("query", F.col(key).alias("match")).agg(F.round(F.sum(F.col("w") * F.col("_q")), 6).alias("sim"))
-        .where(F.col("sim") >= least)
+        vec.withColumnRenamed(key, "match").join(pairs, "match").join(broadcast_if_small(materialize(mine)), "query")
+        .withColumn("_q", F.try_element_at("_tokens", F.col("token"))).where("_q is not null")
+        .groupBy("query", "match").agg(F.round(F.sum(F.col("w") * F.col("_q")), 6).alias("sim"))
     )
+    if clusters is not None:
+        own = clusters.select(F.col(key).alias("query"), F.col("cluster").alias("_a"))
+        other = clusters.select(F.col(key).alias("match"), F.col("cluster").alias("_b"))
+        scored = scored.join(own, "query", "left").join(other, "match", "left")
+        scored = scored.withColumn("sim", F.round(F.col("sim") + F.when(F.col("_a") == F.col("_b"), bonus).otherwise(0.0), 6)).drop("_a", "_b")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "match"))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    return scored.where(F.col("sim") >= least).withColumn("place", place).where(F.col("place") <= k).select("query", "match", "sim", "place")
 
 
 def undirected(edges: DataFrame) -> DataFrame:

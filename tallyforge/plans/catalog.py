@@ -9,6 +9,7 @@ from tallyforge.functions import text as T
 from tallyforge.operators import chains, similarity, skew, stats, timeline
 from tallyforge.plans import discussions, integrity, mining, problems, releases
 from tallyforge.plans.registry import Registry
+from tallyforge.session import materialize
 from tallyforge.sources import load
 
 R = Registry()
@@ -22,24 +23,24 @@ def registries() -> list[Registry]:
 _TEXT = "lower(coalesce(p_name, '') || ' ' || coalesce(p_brand, '') || ' ' || coalesce(p_type, '') || ' ' || cast(p_size as varchar) || 'mm')"
 _CLASSES = f"""
 t as (select p_partkey k, list_sort(list_filter(list_transform(string_split(regexp_replace({_TEXT}, '[^a-z0-9+#.\\-]+', ' ', 'g'), ' '), lambda x: regexp_replace(x, '^[.\\-]+|[.\\-]+$', '', 'g')), lambda x: len(x) > 2)) ts from part),
-c as (select ts, min(k) k from t group by 1),
+c as (select ts, min(k) k, bool_or(k % 100 = 0) asked from t group by 1),
 tf as (select k, token, count(*) tf from (select k, unnest(ts) token from c) group by 1, 2), d as (select token, count(*) df from tf group by 1), n as (select count(*) n from c),
 raw as (select k, token, (1 + ln(tf)) * ln((n + 1) / (df + 1)) w from tf join d using (token), n),
 v as (select k, token, round(w / sqrt(sum(w * w) over (partition by k)), 12) w from raw where w <> 0),
-s as (select q.k query, m.k "match", round(sum(q.w * m.w), 6) sim from v q join v m using (token) where q.k % 100 = 0 and q.k <> m.k group by 1, 2),
+s as (select q.k query, m.k "match", round(sum(q.w * m.w), 6) sim from v q join v m using (token) where q.k in (select k from c where asked) and q.k <> m.k group by 1, 2),
 nb as (select * from (select *, row_number() over (partition by query order by sim desc, "match") place from s where sim >= 0.075) where place <= 4)"""
 
 
-def _part_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """TF-IDF vectors of the classes of parts with equal tokens, under the least key of the class."""
+def _part_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """ts, k, asked of the classes of parts with equal tokens: the least key, and whether any key divides by 100."""
     words = F.concat_ws(" ", F.coalesce("p_name", F.lit("")), F.coalesce("p_brand", F.lit("")), F.coalesce("p_type", F.lit("")), F.concat(F.col("p_size").cast("string"), F.lit("mm")))
     tokens = load(spark, folder, "part").select("p_partkey", F.sort_array(similarity.tokens(words)).alias("ts"))
-    classes = tokens.groupBy("ts").agg(F.min("p_partkey").alias("k"))
-    return similarity.vectors(classes, "k", "ts")
+    return materialize(tokens.groupBy("ts").agg(F.min("p_partkey").alias("k"), F.bool_or(F.col("p_partkey") % 100 == 0).alias("asked")))
 
 
 def _part_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    return similarity.neighbours(_part_vectors(spark, folder), "k", F.col("k") % 100 == 0)
+    classes = _part_classes(spark, folder)
+    return similarity.neighbours(materialize(similarity.vectors(classes, "k", "ts")), "k", classes.where("asked"))
 
 
 @R.add(f'with {_CLASSES} select query, "match", sim, place from nb')
@@ -54,6 +55,29 @@ def similarity_edges(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.undirected(_part_neighbours(spark, folder))
 
 
+_STOP = ["the", "and", "for", "with", "small", "large"]
+
+
+@R.add(f"""
+with {_CLASSES.replace("len(x) > 2)", f"len(x) > 2 and x not in ({', '.join(repr(x) for x in _STOP)}))", 1).replace("where sim >= 0.075", "where sim + bonus >= 0.075").replace("order by sim desc", "order by sim + bonus desc").replace("from s where", "from (select s.*, case when a.cl = b.cl then 0.035 else 0 end bonus from s join cl a on a.k = query join cl b on b.k = s.match) where").replace("s as (select q.k", "cl as (select k, coalesce(list_filter(['gear', 'bolt', 'ring'], lambda w: list_contains(ts, w))[1], 'other') cl from c), s as (select q.k")}
+select query, "match", round(sim + bonus, 6) sim, place from nb""")
+def similar_parts_by_cluster(spark: SparkSession, folder: str) -> DataFrame:
+    """As similar_parts, without stop words and with a bonus for parts of one cluster."""
+    words = F.concat_ws(" ", F.coalesce("p_name", F.lit("")), F.coalesce("p_brand", F.lit("")), F.coalesce("p_type", F.lit("")), F.concat(F.col("p_size").cast("string"), F.lit("mm")))
+    tokens = load(spark, folder, "part").select("p_partkey", F.sort_array(similarity.tokens(words, _STOP)).alias("ts"))
+    classes = materialize(tokens.groupBy("ts").agg(F.min("p_partkey").alias("k"), F.bool_or(F.col("p_partkey") % 100 == 0).alias("asked")))
+    cluster = F.coalesce(F.get(F.filter(F.array(*[F.lit(x) for x in ("gear", "bolt", "ring")]), lambda w: F.array_contains("ts", w)), F.lit(0)), F.lit("other"))
+    vec = materialize(similarity.vectors(classes, "k", "ts"))
+    return similarity.neighbours(vec, "k", classes.where("asked"), clusters=classes.select("k", cluster.alias("cluster")), bonus=0.035)
+
+
+@R.add(f"""with {_CLASSES} select query node, string_agg("match" || ':' || cast(cast(round(sim, 2) as decimal(4,2)) as varchar), ' ' order by place) neighbours from nb group by 1""")
+def nodes_with_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Every asked class with its at most four neighbours and rounded similarities in one row."""
+    near = _part_neighbours(spark, folder).select("query", F.struct("place", F.concat_ws(":", F.col("match").cast("string"), F.round("sim", 2).cast("decimal(4,2)").cast("string")).alias("t")).alias("n"))
+    return near.groupBy(F.col("query").alias("node")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("n")), lambda n: n["t"]), " ").alias("neighbours"))
+
+
 @R.add(f"""
 with {_CLASSES}, e as (select least(query, "match") a, greatest(query, "match") b, max(round(sim, 4)) weight from nb group by 1, 2),
 x as (select a node, weight from e union all select b, weight from e) select node, round(sum(weight), 4) degree from x group by 1""")
@@ -147,12 +171,17 @@ def orders_with_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.add(f"""
 with {_CLASSES}, e as (select least(query, "match") a, greatest(query, "match") b, max(round(sim, 4)) weight from nb group by 1, 2),
-x as (select a node, weight from e union all select b, weight from e), g as (select node, round(sum(weight), 4) degree from x group by 1)
-select p_partkey node, round(4 * coalesce(degree, 0) + 2.4 * log2(coalesce(p_size, 0) + 1), 4) influence from part left join g on node = p_partkey""")
+x as (select a node, weight from e union all select b, weight from e), g as (select node, round(sum(weight), 4) degree from x group by 1),
+m as (select t.k p_partkey, c.k node from t join c using (ts))
+select p_partkey node, round(4 * coalesce(degree, 0) + 2.4 * log2(coalesce(p_size, 0) + 1), 4) influence from part left join m using (p_partkey) left join g using (node)""")
 def part_influence(spark: SparkSession, folder: str) -> DataFrame:
-    """The influence of every part: its degree in the similarity graph and its size on a log scale."""
+    """The influence of every part: its class's degree in the graph of similar_parts, and its size on a log scale."""
     degrees = similarity.weighted_degree(similarity.undirected(_part_neighbours(spark, folder)))
-    return similarity.influence(degrees, load(spark, folder, "part").select("p_partkey", "p_size"), "p_partkey", "p_size")
+    words = F.concat_ws(" ", F.coalesce("p_name", F.lit("")), F.coalesce("p_brand", F.lit("")), F.coalesce("p_type", F.lit("")), F.concat(F.col("p_size").cast("string"), F.lit("mm")))
+    parts = load(spark, folder, "part").select("p_partkey", "p_size", F.xxhash64(F.sort_array(similarity.tokens(words))).alias("_class"))
+    least = parts.groupBy("_class").agg(F.min("p_partkey").alias("node"))
+    member = skew.lookup_join(parts.select("p_partkey", "_class"), least, "_class").join(degrees, "node").select(F.col("p_partkey").alias("node"), "degree")
+    return similarity.influence(member, parts, "p_partkey", "p_size")
 
 
 @R.add("""

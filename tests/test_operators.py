@@ -100,10 +100,10 @@ def test_similarity_against_brute_force(spark):
         near = sorted(((-round(sum(vec[a].get(w, 0) * x for w, x in vec[b].items()), 6), b) for b in docs if b != a))
         want[a] = [(b, -s) for s, b in near if -s >= 0.075][:2]
     got = {}
-    for r in similarity.neighbours(similarity.vectors(df, "k", "ts"), "k", F.lit(True), k=2).orderBy("place").collect():
+    for r in similarity.neighbours(similarity.vectors(df, "k", "ts"), "k", df, k=2).orderBy("place").collect():
         got.setdefault(r.query, []).append((r.match, r.sim))
     assert got == {k: v for k, v in want.items() if v}
-    edges = similarity.undirected(similarity.neighbours(similarity.vectors(df, "k", "ts"), "k", F.lit(True), k=2))
+    edges = similarity.undirected(similarity.neighbours(similarity.vectors(df, "k", "ts"), "k", df, k=2))
     assert edges.where("a >= b").isEmpty() and edges.count() == edges.select("a", "b").distinct().count()
 
 
