@@ -46,15 +46,17 @@ def neighbours(vec: DataFrame, key: str, queries: DataFrame, k: int = 4, least:
     asked = vec.join(broadcast_if_small(queries.select(F.col(key)).distinct()), key, "left_semi").select(F.col(key).alias("query"), "token", F.col("w").alias("_q"))
     bound = vec.groupBy("token").agg(F.max("w").alias("_max"))
     reach = F.sum(F.col("_q") * F.col("_max")).over(Window.partitionBy("query").orderBy(F.col("_q") * F.col("_max"), "token"))
-    seeds = asked.join(bound, "token").withColumn("_rest", reach).where(F.col("_rest") + bonus + 1e-6 >= least).select("query", "token")
-    asked = materialize(asked)
-    pairs = vec.join(broadcast_if_small(materialize(seeds)), "token").where(F.col(key) != F.col("query")).select("query", F.col(key).alias("match")).distinct()
-    mine = asked.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("token", "_q"))).alias("_tokens"))
-    scored = (
-        vec.withColumnRenamed(key, "match").join(pairs, "match").join(broadcast_if_small(materialize(mine)), "query")
-        .withColumn("_q", F.try_element_at("_tokens", F.col("token"))).where("_q is not null")
-        .groupBy("query", "match").agg(F.round(F.sum(F.col("w") * F.col("_q")), 6).alias("sim"))
-    )
+    judged = materialize(asked.join(bound, "token").withColumn("_seed", reach + bonus + 1e-6 >= least).select("query", "token", "_q", "_seed"))
+    seeds, light = judged.where("_seed").drop("_seed"), judged.where("not _seed")
+    heavy = vec.join(broadcast_if_small(seeds), "token").where(F.col(key) != F.col("query")).groupBy("query", F.col(key).alias("match")).agg(F.sum(F.col("w") * F.col("_q")).alias("sim"))
+    if light.isEmpty():
+        scored = heavy.withColumn("sim", F.round("sim", 6))
+    else:
+        pairs = materialize(heavy)
+        texts = vec.select(F.col(key).alias("match"), "token", "w").join(broadcast_if_small(light.select("token").distinct()), "token", "left_semi")
+        found = pairs.select("query", "match").join(texts, "match").join(broadcast_if_small(light.select("query", "token", "_q")), ["query", "token"])
+        more = found.groupBy("query", "match").agg(F.sum(F.col("w") * F.col("_q")).alias("_more"))
+        scored = pairs.join(more, ["query", "match"], "left").select("query", "match", F.round(F.col("sim") + F.coalesce("_more", F.lit(0.0)), 6).alias("sim"))
     if clusters is not None:
         own = clusters.select(F.col(key).alias("query"), F.col("cluster").alias("_a"))
         other = clusters.select(F.col(key).alias("match"), F.col("cluster").alias("_b"))
