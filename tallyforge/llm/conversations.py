@@ -37,15 +37,21 @@ def login(name: Column) -> Column:
     return F.when(low != "", low)
 
 
-def fold(events: DataFrame, key: str, version: str) -> DataFrame:
-    """The final row of each key: the delivery with the latest version, ties broken by the row's content."""
+def fold(events: DataFrame, key: str, version: str, present: str | None = None) -> DataFrame:
+    """The final row of each key from an event log of deliveries, ordered by version and, where versions tie, by content.
+
+    The first delivery creates a row, a later one with other content edits it, one with equal content is a retry. present
+    names a boolean column that tells whether a delivery has any content: a last delivery without any, after one that had
+    some, deletes the row; what never had content stays. A delivery after a deletion creates the row again.
+    """
     rest = [c for c in events.columns if c != key]
     order = F.struct(F.col(version), F.xxhash64(*[F.col(c) for c in rest]))
-    return (
-        events.where(F.col(key).isNotNull()).groupBy(key)
-        .agg(F.max_by(F.struct(*rest), order).alias("_row"))
-        .select(key, "_row.*")
+    folded = events.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.max_by(F.struct(*rest), order).alias("_row"), (F.bool_or(present) if present else F.lit(False)).alias("_had")
     )
+    if present:
+        folded = folded.where(F.col(f"_row.{present}") | ~F.col("_had"))
+    return folded.select(key, "_row.*")
 
 
 def turns(comments: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -53,10 +59,11 @@ def turns(comments: DataFrame, accounts: DataFrame) -> DataFrame:
     events = comments.select(
         "id", "issue_number", login(F.col("user")).alias("speaker"), instant(F.col("created_at")).alias("at"),
         says_something(F.col("body")).alias("has_text"), "fetched_at",
+        F.coalesce("user", "created_at", "body").isNotNull().alias("_present"),
     ).where("issue_number is not null and issue_number <> 0")
     kinds = accounts.select(login(F.col("login")).alias("speaker"), (F.lower("role") == "bot").alias("_bot")).where("speaker is not null")
     kinds = kinds.groupBy("speaker").agg(F.bool_or("_bot").alias("_bot"))
-    final = fold(events, "id", "fetched_at")
+    final = fold(events, "id", "fetched_at", "_present").drop("_present")
     return final.join(broadcast_if_small(kinds), "speaker", "left").withColumn("is_bot", F.coalesce("_bot", F.lit(False))).drop("_bot")
 
 
@@ -102,5 +109,6 @@ def conversations(comments: DataFrame, issues: DataFrame, accounts: DataFrame) -
     dated = materialize(dated.join(broadcast_if_small(roles), "speaker", "left").withColumn("_day", F.to_date("at")))
     numbered = bucketed_sequence(dated, "issue_number", "_day", ["at", "id"], "turn_no")
     role = F.coalesce("_role", F.when(F.col("speaker") == F.col("opener"), "author"), F.lit("contributor"))
-    bodies = fold(comments.select("id", "body", "fetched_at"), "id", "fetched_at").drop("fetched_at")
+    of_kept = comments.select("id", "issue_number", "body", "fetched_at").join(broadcast_if_small(kept.select("issue_number")), "issue_number", "left_semi")
+    bodies = fold(of_kept.drop("issue_number"), "id", "fetched_at").drop("fetched_at")
     return numbered.join(bodies, "id").select("issue_number", "turn_no", "id", "at", role.alias("role"), "speaker", "body")

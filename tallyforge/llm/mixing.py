@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from math import gcd
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ from tallyforge.session import materialize
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The word pattern that belongs to the vocabulary; a fixed value of its public tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Sums up to this many tokens are searched exactly when a budget is closed.
+#: Sums up to this many tokens are searched first when a budget is closed; the window grows until nothing better can exist.
 WINDOW = 1 << 16
 
 
@@ -87,16 +88,26 @@ def fit_source(lengths: dict[int, int], budget: int, max_repeats: int) -> tuple[
     rest = budget - whole * total
     if whole == max_repeats or not rest:
         return whole, {}
-    taken = {n: c * rest // total for n, c in lengths.items()}
-    close_budget(lengths, taken, rest - sum(n * k for n, k in taken.items()))
-    return whole, {n: k for n, k in taken.items() if k}
+    drawn = {n: c * rest // total for n, c in lengths.items()}
+    step, window = gcd(*lengths), WINDOW
+    while True:
+        taken = dict(drawn)
+        left = close_budget(lengths, taken, rest - sum(n * k for n, k in taken.items()), window)
+        # every sum is a multiple of step; a window as large as the budget searches all of it
+        if left < step or window >= rest:
+            return whole, {n: k for n, k in taken.items() if k}
+        window *= 8
+
+
+def source_name(source: Column) -> Column:
+    """A source for comparison: without white space of any script at either end, in lower case."""
+    return F.lower(F.regexp_replace(source, r"(?U)^\s+|\s+$", ""))
 
 
 def counted(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, source (trimmed, lower case) and tokens of every document with a source and at least one token."""
-    source = F.lower(F.regexp_replace("source", r"(?U)^\s+|\s+$", ""))
     return materialize(
-        documents.select("doc_id", source.alias("source"), token_count(F.col("text"), vocabulary).alias("n_tokens"))
+        documents.select("doc_id", source_name(F.col("source")).alias("source"), token_count(F.col("text"), vocabulary).alias("n_tokens"))
         .where("n_tokens > 0 and source is not null")
     )
 
@@ -107,7 +118,7 @@ def budgets(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     Shares are weights over the sum of positive weights of sources that have documents; other sources get none. Without
     total_tokens the total is the largest at which every source reaches its share within its repeats.
     """
-    wanted = targets.select(F.lower(F.trim("source")).alias("source"), "target_weight", F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"))
+    wanted = targets.select(source_name(F.col("source")).alias("source"), "target_weight", F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"))
     wanted = wanted.groupBy("source").agg(F.sum("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"))
     have = docs.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"), F.count("*").alias("available_documents"))
     joined = wanted.join(have, "source", "left").fillna(0, ["available_tokens", "available_documents"])

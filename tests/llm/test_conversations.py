@@ -50,5 +50,31 @@ def test_turns_of_a_hot_discussion(spark):
     assert [r.role for r in got if r.issue_number == 2] == ["bot", "maintainer"]
 
 
+def test_versions(spark):
+    """Creates, edits, deletes and retries of messages, in any order of arrival."""
+    rows = [
+        (1, 3, "edited twice"), (1, 1, "created"), (1, 2, "edited"), (2, 1, "created"), (2, 2, "created"), (3, 1, "created"), (3, 2, None),
+        (4, 1, "created"), (4, 2, None), (4, 3, "again"), (5, 1, None), (6, 1, "a"), (6, 1, "a"), (None, 1, "no key"),
+    ]
+    df = spark.createDataFrame(rows, "id int, v int, body string").withColumn("p", c.F.col("body").isNotNull()).repartition(3)
+    assert {(r.id, r.v, r.body) for r in c.fold(df, "id", "v", "p").collect()} == {(1, 3, "edited twice"), (2, 2, "created"), (4, 3, "again"), (5, 1, None), (6, 1, "a")}
+
+
+def test_edits_and_deletions_decide_discussions(spark):
+    def at(*days):
+        return [datetime(2026, 2, d) for d in days]
+
+    comments, issues, accounts = tables(spark, [], [(1, "ann", 1), (2, "ann", 1), (3, "ann", 1)])
+    first, second = at(1, 2)
+    log = [
+        (1, 1, "bob", "2026-01-02T00:00:00Z", "an answer", first, None), (1, 1, None, None, None, second, None), (2, 1, "ann", "2026-01-01T00:00:00Z", "why?", first, None),  # the answer is deleted
+        (3, 2, "bob", "2026-01-02T00:00:00Z", "<!-- -->", first, None), (3, 2, "bob", "2026-01-02T00:00:00Z", "now with words", second, None),  # edited into a text
+        (4, 3, "bob", "2026-01-02T00:00:00Z", "words", first, None), (4, 3, "bob", "2026-01-02T00:00:00Z", "words", second, None),  # a retry
+    ]
+    comments = spark.createDataFrame(log, COMMENTS)
+    assert {r.issue_number: r.reason for r in c.verdicts(c.turns(comments, accounts), c.openers(issues)).collect()} == {1: "unanswered", 2: None, 3: None}
+    assert {(r.id, r.body) for r in c.conversations(comments, issues, accounts).collect()} == {(3, "now with words"), (4, "words")}
+
+
 def test_empty(spark):
     assert reasons(spark, [], []) == {} and c.conversations(*tables(spark, [], [])).count() == 0

@@ -23,6 +23,22 @@ def test_budget_is_filled_as_well_as_it_can_be(lengths, budget, repeats):
     assert sum(n * k for n, k in extra.items()) == (reachable(lengths, rest) if whole < repeats else 0)
 
 
+def test_budgets_beyond_the_window_are_filled_as_well_as_they_can_be(monkeypatch):
+    """A window of a few tokens must grow until no better sum can exist."""
+    monkeypatch.setattr(mixing, "WINDOW", 4)
+    rng = random.Random(8)
+    for _ in range(200):
+        lengths = {rng.randint(2, 90): rng.randint(1, 4) for _ in range(rng.randint(1, 6))}
+        total = sum(n * c for n, c in lengths.items())
+        budget = rng.randint(1, total)
+        whole, extra = mixing.fit_source(lengths, budget, 1)
+        assert whole * total + sum(n * k for n, k in extra.items()) == reachable(lengths, budget)
+    monkeypatch.undo()
+    even = {n: 10**6 for n in range(1000, 2000, 2)}
+    _, extra = mixing.fit_source(even, 10**9 + 1, 1)
+    assert sum(n * k for n, k in extra.items()) == 10**9
+
+
 def docs(spark, rows):
     return mixing.counted(spark.createDataFrame(rows, "doc_id bigint, source string, text string, n_tokens string"))
 
@@ -31,7 +47,7 @@ def test_mixture(spark):
     random.seed(1)
     rows = [(i, random.choice(["Big", " big "]), "word " * random.randint(1, 40), "clash") for i in range(400)]
     rows += [(1000 + i, "small", "some more words here", None) for i in range(10)] + [(2000, "other", "x", None), (2001, None, "x", None), (2002, "big", None, None), (2003, "big", "", None)]
-    targets = spark.createDataFrame([("big", 2.0, 1), ("SMALL", 1.0, 3), ("gone", 1.0, 5), ("other", None, 5)], "source string, target_weight double, max_repeats int")
+    targets = spark.createDataFrame([("\u00a0big\t", 2.0, 1), ("SMALL", 1.0, 3), ("gone", 1.0, 5), ("other", None, 5)], "source string, target_weight double, max_repeats int")
     counted = docs(spark, rows)
     mixed, shares = mixing.mixture(counted, targets)
     by = {r.source: r for r in shares.collect()}
