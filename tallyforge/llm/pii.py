@@ -93,54 +93,70 @@ class Model:
     patterns: dict[str, dict[tuple[int, ...], float]]
 
 
-def train(spans: DataFrame) -> Model:
-    """A model from a column spans of candidates. Vote patterns count over all candidates, at most 3^6 a kind."""
-    each = spans.select(F.inline("spans"))
+def train(spans: DataFrame, ids: list[str]) -> Model:
+    """A model from ids and a column spans of candidates. Vote patterns count over all candidates, at most 3^7 a kind.
+
+    The classifier's sample is drawn by a hash of the row and the candidate, so copies of a text share no fate.
+    """
+    each = spans.select(*ids, F.inline("spans"))
     counts: dict[str, dict[tuple[int, ...], int]] = {}
     for kind, votes, n in each.groupBy("kind", "votes").count().collect():
         counts.setdefault(kind, {})[tuple(map(int, votes.split(",")))] = n
     patterns = {kind: reliabilities(c) for kind, c in counts.items()}
     part = min(1.0, TRAIN_CANDIDATES / max(1, sum(n for c in counts.values() for n in c.values())))
-    by_hash = F.pmod(F.xxhash64("value", "votes", "start"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))
+    by_hash = F.pmod(F.xxhash64(*ids, "value", "start"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))
     sample = each.where(by_hash).select("kind", "votes", "feats").collect()
     if not sample:
         return Model(np.zeros(SLOTS + 1), patterns)
-    target = np.array([patterns[r.kind][tuple(map(int, r.votes.split(",")))] for r in sample])
-    return Model(fit_classifier([r.feats for r in sample], target), patterns)
+    target = [patterns[r.kind][tuple(map(int, r.votes.split(",")))] for r in sample]
+    features = [list(r.feats) for r in sample]
+    # names are taught a second time as if no list knew them, so that what stands around a name decides where the list can't say
+    known, unknown = ps.slot("name|v31", SLOTS), ps.slot("name|v30", SLOTS)
+    blind = [(f, t) for f, t in zip(features, target, strict=True) if known in f]
+    features += [[unknown if x == known else x for x in f] for f, _ in blind]
+    return Model(fit_classifier(features, np.array(target + [t for _, t in blind])), patterns)
 
 
 def chosen(spans: list, weight: np.ndarray) -> list[tuple[str, int, int, str]]:
-    """The details among a text's candidates: likely ones, and of overlapping ones the longer, then the likelier."""
+    """The details among a text's candidates: likely ones, and of overlapping ones the longer, then the likelier; of names the likelier."""
     scored = [(s["kind"], s["start"], s["stop"], s["value"], float(weight[np.asarray(s["feats"], dtype=int)].sum())) for s in spans]
     out: list[tuple[str, int, int, str]] = []
-    for kind, start, stop, value, score in sorted(scored, key=lambda s: (s[1] - s[2], -s[4])):
+    for kind, start, stop, value, score in sorted(scored, key=lambda s: (s[0] == "name", 0 if s[0] == "name" else s[1] - s[2], -s[4])):
         if score > np.log(THRESHOLD / (1 - THRESHOLD)) and all(stop <= s or start >= e for _, s, e, _ in out):
             out.append((kind, start, stop, value))
     return sorted(out, key=lambda s: s[1])
 
 
-def details(texts: DataFrame, ids: list[str]) -> DataFrame:
-    """ids, kind, start, stop, value of every personal detail in column body. Null and empty bodies have none."""
-    spans = candidate_spans(F.col("body"))
-    found = materialize(spread(texts.where("body is not null")).select(*ids, spans.alias("spans")).where(F.size("spans") > 0))
-    shared = texts.sparkSession.sparkContext.broadcast(train(found).weight)
+_DETAIL = "array<struct<kind:string, start:int, stop:int, value:string>>"
+
+
+def _chosen(found: DataFrame, ids: list[str]) -> Column:
+    """The details among the candidates in column spans, by a model fitted on them."""
+    shared = found.sparkSession.sparkContext.broadcast(train(found, ids).weight)
 
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([chosen(x, shared.value) for x in batch], dtype=object)
 
-    kept = F.pandas_udf(each, "array<struct<kind:string, start:int, stop:int, value:string>>")("spans")
-    return found.select(*ids, F.inline(kept))
+    return F.pandas_udf(each, _DETAIL)("spans")
+
+
+def details(texts: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, kind, start, stop, value of every personal detail in column body. Null and empty bodies have none."""
+    spans = candidate_spans(F.col("body"))
+    found = materialize(spread(texts.where("body is not null")).select(*ids, spans.alias("spans")).where(F.size("spans") > 0))
+    return found.select(*ids, F.inline(_chosen(found, ids)))
 
 
-def redact(texts: DataFrame, ids: list[str], found: DataFrame) -> DataFrame:
+def redact(texts: DataFrame, ids: list[str]) -> DataFrame:
     """ids and body with every detail replaced by its typed placeholder such as [EMAIL]; the rest stays as it is.
 
-    Details of a row are gathered and cut out from the end on; rows without a detail pass through.
+    Bodies are written once beside their candidates, so details are cut out, from the end on, of the very text they were
+    found in, and no row moves. Null bodies stay null.
     """
-    spans = found.groupBy(*ids).agg(F.sort_array(F.collect_set(F.struct("start", "stop", "kind")), asc=False).alias("_s"))
+    found = materialize(spread(texts).select(*ids, "body", candidate_spans(F.col("body")).alias("spans")))
     replaced = F.aggregate(
-        "_s", F.col("body"),
+        F.reverse(_chosen(found, ids)), F.col("body"),
         lambda b, s: F.concat(F.substring(b, F.lit(1), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"), F.substring(b, s["stop"] + 1, F.length(b))),
     )
-    return texts.join(spans, ids, "left").select(*ids, F.when(F.col("_s").isNotNull(), replaced).otherwise(F.col("body")).alias("body"))
+    return found.select(*ids, F.when(F.size("spans") > 0, replaced).otherwise(F.col("body")).alias("body"))

@@ -82,7 +82,6 @@ _ADDRESS = [
 ]
 _ADDRESS_HINT = re.compile(rf"\d (?:[\w'’-]+ ){{1,3}}{_STREET}\b|straße|strasse|weg |gasse|platz |allee|\bAm |\bIm |\bAn de|\bAuf de|Zum |Zur |Calle|Plaza|Avenida|Avda|Paseo|Camino|Rua |rue |avenue |place |ул\.|улица|просп|переул|бульвар|площадь", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_GAP = re.compile(r"(?: [^\W\d_]\. | )$")
 
 # Words that tell a detail of a kind, and words that tell something else, shortly before or after it.
 CUES = {
@@ -102,41 +101,34 @@ ANTI = {
 _CUE = {k: re.compile(rf"(?:\b|(?<=_)|(?=\W))(?:{v})", re.I) for k, v in CUES.items()}
 _ANTI = {k: re.compile(rf"(?:\b|(?<=_)|(?=\W))(?:{v})", re.I) for k, v in ANTI.items()}
 _BOUND = re.compile(r"[.!?\n]\s")
-LABELERS = ["cue", "anti", "shape", "gazetteer", "edges", "company"]
+LABELERS = ["cue", "anti", "shape", "gazetteer", "edges", "company", "common"]
+
+
+# Small words inside family names.
+_PARTICLE = r"(?:de|da|do|dos|del|della|di|du|la|le|van|von|der|den|ter|bin|al|el)"
+_BETWEEN = re.compile(rf"(?:(?: [^\W\d_]\.)?(?: {_PARTICLE}){{0,2}} |, )$")
+#: A given name with a family name has at most so many letters a word.
+_LONGEST = 40
 
 
 def _names(text: str) -> list[tuple[int, int]]:
-    """Spans that could be a given name with a family name: Given Family, Given I. Family, Family, Given."""
+    """Spans that could be a given name with a family name: two capitalised words, perhaps with an initial, small words or a comma between. Greetings are part of no name."""
     out: list[tuple[int, int]] = []
     before = None
-    tokens = list(_WORD.finditer(text))
-    used = -1
-    for k, m in enumerate(tokens):
+    for m in _WORD.finditer(text):
         w = m[0]
-        if not w[0].isupper():
+        if w[0].isupper() and 1 < len(w) <= _LONGEST and w.lower() not in GREETINGS:
+            if before is not None and _BETWEEN.match(text[before.end() : m.start()]):
+                end = m.end() - 2 if w.endswith(("'s", "’s")) else m.end()
+                out.append((before.start(), end))
             before = m
-            continue
-        low = w.lower()
-        if (low in GIVEN or low in GIVEN_CYRILLIC) and m.start() >= used:
-            span = None
-            if before is not None and before.end() > used and text[before.end() : m.start()] == ", " and _family(before[0]):
-                span = (before.start(), m.end())
-            else:
-                j = k + 1
-                if j < len(tokens) and len(tokens[j][0]) == 1 and text[tokens[j].end() : tokens[j].end() + 1] == ".":
-                    j += 1
-                if j < len(tokens) and _GAP.match(text[m.end() : tokens[j].start()]) and _family(tokens[j][0]):
-                    span = (m.start(), tokens[j].end())
-            if span:
-                end = span[1] - 2 if text[span[0] : span[1]].endswith(("'s", "’s")) else span[1]
-                out.append((span[0], end))
-                used = end
-        before = m
+        elif before is not None and not (len(w) == 1 or re.fullmatch(_PARTICLE, w)):
+            before = None
     return out
 
 
-def _family(word: str) -> bool:
-    return word[0].isupper() and len(word) > 2 and word.lower() not in NOT_FAMILY and word.lower() not in GREETINGS
+def _given(word: str) -> bool:
+    return word in GIVEN or word in GIVEN_CYRILLIC or word.split("-")[0] in GIVEN
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -145,7 +137,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     if _EMAIL_HINT.search(text):
         out += [("email", m.start(), m.end()) for m in _EMAIL.finditer(text)]
     if any(c.isdigit() for c in text):
-        out += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if sum(c.isdigit() for c in m[0]) >= 8]
+        out += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if sum(c.isdigit() for c in m[0]) >= 7]
         out += [("id_number", m.start(), m.end()) for m in _ID.finditer(text)]
         if _ADDRESS_HINT.search(text):
             out += [("address", m.start(), m.end()) for p in _ADDRESS for m in p.finditer(text)]
@@ -154,7 +146,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
 
 
 def votes(text: str, kind: str, start: int, end: int, found: list[tuple[str, int, int]]) -> list[int]:
-    """The votes of LABELERS on one candidate."""
+    """The votes of LABELERS on one candidate: 1 for a detail, -1 against, 0 where a labeler can't say."""
+    common = 0
     value = text[start:end]
     head, tail = text[max(0, start - 48) : start], text[end : end + 32]
     sentence = _BOUND.split(head)[-1]
@@ -177,15 +170,19 @@ def votes(text: str, kind: str, start: int, end: int, found: list[tuple[str, int
         edges = -1 if re.match(r"\s?(?:ms|px|seconds?|microseconds|times|workers?|failed|bytes|in (?:three|two) runs)", tail) else 1
     elif kind == "address":
         shape = 1 if "," in value else 0
-        gazetteer = 1
+        gazetteer = 1 if re.search(rf"{_POST}$", value) or re.search(r"(?:straße|strasse|улица|ул\.|calle|rue)", value, re.I) else 0
         edges = -1 if re.match(r" (?:clock|theme|plugin|fork|is the)", tail, re.I) else 1
     else:
-        shape = 1 if "," in value or "." in value or "-" in value else 0
-        first = {w.lower() for w in _WORD.findall(value)}
-        gazetteer = 1 if first & GIVEN or first & GIVEN_CYRILLIC else -1
+        parts = [w.lower() for w in _WORD.findall(value)]
+        first, last = _given(parts[0]), _given(parts[-1])
+        starts = not head.strip() or head.rstrip(" ")[-1:] in ".!?\n:"
+        turned = ", " in value
+        shape = 1 if turned and last or first and ("." in value or "-" in value or not starts) else -1 if last and not turned and starts or turned and not last else 0
+        gazetteer = 1 if first or last else 0
+        common = -1 if any(p in NOT_FAMILY or p in GREETINGS for p in (parts[0], parts[-1])) or any(re.search(rf"\b{re.escape(p)}\b", text) for p in (parts[0], parts[-1])) else 0
         edges = -1 if re.match(r" (?:theme|plugin|menu|clock|widget|fork|bar)\b", tail, re.I) or head[-1:] in "/@." and head[-1:] else 1
     company = 1 if any(k != kind and (0 <= s - end <= 24 or 0 <= start - e <= 24) for k, s, e in found) else 0
-    return [cue, anti, shape, gazetteer, edges, company]
+    return [cue, anti, shape, gazetteer, edges, company, common]
 
 
 def _known_mailbox(value: str) -> bool:
@@ -198,10 +195,10 @@ def features(text: str, kind: str, start: int, end: int, vote: list[int], size:
     tail = _WORD.findall(text[end : end + 32].lower())[:1]
     shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "a", text[start:end]))[:16]
     names = [f"v{i}{v}" for i, v in enumerate(vote)] + [f"h{i}{w}" for i, w in enumerate(reversed(head))] + [f"t{w}" for w in tail] + [f"s{shape}"]
-    return [_slot(f"{kind}|{n}", size) for n in names]
+    return [slot(f"{kind}|{n}", size) for n in names]
 
 
-def _slot(name: str, size: int) -> int:
+def slot(name: str, size: int) -> int:
     h = 2166136261
     for c in name.encode():
         h = ((h ^ c) * 16777619) & 0xFFFFFFFF
