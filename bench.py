@@ -5,10 +5,10 @@ import json
 import os
 import time
 
-from tallyforge.session import local_session
+from tallyforge.session import forget, local_session
 
 HEADLINE = [
-    "release_statistics", "evidence_links_one_sided", "record_shape_violations", "listing_history", "rule_mentions", "first_fix_after_blocker",
+    "release_statistics", "references_by_direction", "shape_faults", "issue_extracts", "quotes_by_overlap", "record_shape_violations", "listing_history", "rule_mentions", "first_fix_after_blocker",
     "script_findings", "similarity_edges", "orders_with_lines", "order_chains", "p3_found", "p4_found",
     "p1_found", "p2_found", "p5_found", "p6_found", "p7_mixture", "p8_found",
 ]
@@ -25,6 +25,7 @@ def main() -> None:
         began = time.time()
         known[name](spark, folder).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
+        forget(spark)
     print(json.dumps({"metric": "headline queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(folder.rstrip("/"))}), flush=True)
     spark.stop()
 

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A side with at most this many rows is broadcast; beyond it the join shuffles.
+#: A side with at most this many rows, and bytes of its rows as JSON, is broadcast; beyond either the join shuffles.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if a count proves that it has at most max_rows rows, else df as it is.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if counts prove that it has at most max_rows rows and max_bytes bytes, else df as it is.
 
-    The count stops after max_rows + 1 rows. Callers pass narrow tables that are cheap to compute or materialised.
+    Counting stops after max_rows + 1 rows. Callers pass narrow tables that are cheap to compute or materialised.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, b = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and b <= max_bytes else df
 
 
 def hot_values(df: DataFrame, key: str, share: float = 0.02) -> list:

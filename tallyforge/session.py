@@ -27,6 +27,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
 
 
 _SHIPPED: set[str] = set()
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -66,10 +67,19 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.withColumns({c: df[c].cast("string") for c, t in df.dtypes if t == "void"}).write.parquet(path)
     return spark.read.parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete the tables that materialize wrote in this application. To be called when the results that read them are done."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        place = hadoop(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least all cores: a few small files would else keep costly work in a few tasks. Larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,12 +22,27 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) ->
     return rows, judged.where("fault is not null").select("file", "fault", "line")
 
 
-def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, length, sha256 of every file below a folder."""
+def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The objects of files that each hold one JSON array, read with a fixed schema; what does not parse gives rows of nulls."""
+    return spark.read.schema(schema).option("multiLine", "true").json(path)
+
+
+def inventory(spark: SparkSession, path: str, glob: str = "*", without: str | None = None) -> DataFrame:
+    """path, length, sha256 of every file below a folder, but for paths that match the pattern `without`."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    if without:
+        files = files.where(~F.col("path").rlike(without))
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def read_texts(spark: SparkSession, path: str, most: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """(texts, refused) of the files below a folder: path and text as UTF-8, broken bytes replaced; and path, length of files of
+    more than `most` bytes, which are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    small, large = files.where(F.col("length") <= most), files.where(F.col("length") > most)
+    return small.select("path", F.col("content").cast("string").alias("text")), large.select("path", "length")
+
+
 def manifest_digests(files: DataFrame) -> DataFrame:
     """folder, n_files, sha256: per folder one digest over its sorted `digest  path` lines; a folder's listing fits a task."""
     line = F.concat_ws("  ", "sha256", "path")
@@ -42,9 +57,22 @@ def write_canonical_json(df: DataFrame, path: str, key: str) -> None:
     ordered.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_chunks(df: DataFrame, path: str, chunk: str) -> None:
-    """One folder of JSON files per chunk."""
+def write_chunks(df: DataFrame, path: str, chunk: str) -> DataFrame:
+    """One folder of JSON files per chunk, and an index of them in `_index`: chunk, n_rows. Returns the index."""
     df.write.mode("overwrite").partitionBy(chunk).json(path)
+    index = df.groupBy(chunk).agg(F.count("*").alias("n_rows"))
+    index.coalesce(1).write.mode("overwrite").json(f"{path}/_index")
+    return index
+
+
+def write_valid(df: DataFrame, path: str, key: str, checks: dict[str, Column]) -> DataFrame:
+    """Canonical JSON of df, written only if no row breaks a check; returns the violations (table_name, key, check), none if it was written."""
+    from tallyforge.operators.quality import violations
+
+    broken = violations(df, path, F.col(key).cast("string"), checks)
+    if broken.isEmpty():
+        write_canonical_json(df, path, key)
+    return broken
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -18,28 +18,27 @@ def daily_counts(events: DataFrame, ts: str, late: str = "2 days") -> DataFrame:
 def keep_latest(deliveries: DataFrame, table: str, key: str, checkpoint: str) -> StreamingQuery:
     """Run all waiting deliveries into a folder with one row a key, the last delivery winning.
 
-    Each micro-batch writes a whole new version beside the old one and then names it in a one-line pointer, so readers see
-    one version or the other, and a batch that is run again writes the same rows.
+    Each micro-batch writes a whole new version beside the old ones and then adds its number to a list, so readers see whole
+    versions only and no moment is without one. A batch that is run again starts from the version before it and writes the
+    same rows.
     """
+    return deliveries.writeStream.foreachBatch(lambda batch, number: merge_batch(batch, number, table, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = current(spark, table)
-        merged = batch if old is None else upsert(old, batch, key)
-        if old is None:
-            merged = upsert(batch.limit(0), batch, key)
-        merged.write.mode("overwrite").parquet(f"{table}/v{number}")
-        spark.createDataFrame([(number,)], "version bigint").coalesce(1).write.mode("overwrite").json(f"{table}/_current")
 
-    return deliveries.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def merge_batch(batch: DataFrame, number: int, table: str, key: str) -> None:
+    """One micro-batch of keep_latest."""
+    old = current(batch.sparkSession, table, before=number)
+    upsert(batch.limit(0) if old is None else old, batch, key).write.mode("overwrite").parquet(f"{table}/v{number}")
+    batch.sparkSession.createDataFrame([(number,)], "version bigint").coalesce(1).write.mode("append").json(f"{table}/_versions")
 
 
-def current(spark, table: str) -> DataFrame | None:
-    """The last whole version of a kept table; None before the first."""
+def current(spark, table: str, before: int | None = None) -> DataFrame | None:
+    """The last whole version of a kept table, or the last one before a number; None if there is none."""
     try:
-        version = spark.read.schema("version bigint").json(f"{table}/_current").agg(F.max("version")).first()[0]
+        versions = spark.read.schema("version bigint").json(f"{table}/_versions")
+        last = (versions if before is None else versions.where(F.col("version") < before)).agg(F.max("version")).first()[0]
     except Exception as e:  # noqa: BLE001 - only a missing path means that there is no version yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return None
-    return None if version is None else spark.read.parquet(f"{table}/v{version}")
+    return None if last is None else spark.read.parquet(f"{table}/v{last}")

@@ -104,3 +104,55 @@ def test_streams(spark, tmp_path):
     q = counts.writeStream.outputMode("complete").format("memory").queryName("days").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(str(r.date), r.n) for r in spark.table("days").collect()} == {("2026-01-01", 2), ("2026-01-02", 1), ("2026-01-04", 1)}
+
+
+def test_a_batch_that_is_run_again(spark, tmp_path):
+    """A crash after the data, before or after the list of versions, loses nothing and repeats nothing."""
+    table = str(tmp_path / "t")
+
+    def batch(*rows):
+        return spark.createDataFrame(list(rows), "k int, v string, ts int")
+
+    live.merge_batch(batch((1, "a", 1)), 0, table, "k")
+    batch((9, "half", 9)).write.parquet(f"{table}/v1")  # crashed before its number was listed
+    assert {(r.k, r.v) for r in live.current(spark, table).collect()} == {(1, "a")}
+    for _ in range(2):  # run again, twice
+        live.merge_batch(batch((1, "b", 2), (2, "c", 2)), 1, table, "k")
+        assert {(r.k, r.v) for r in live.current(spark, table).collect()} == {(1, "b"), (2, "c")}
+
+
+def test_arrays_texts_and_valid_writes(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"x": 1}, {"x": 2, "y": 3}]')
+    assert {tuple(r) for r in files.read_json_array(spark, str(tmp_path / "a.json"), "x int").collect()} == {(1,), (2,)}
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "s.txt").write_bytes(b"a\xffb")
+    (tmp_path / "d" / "l.txt").write_text("x" * 100)
+    texts, refused = files.read_texts(spark, str(tmp_path / "d"), 50)
+    assert [r.text for r in texts.collect()] == ["a\ufffdb"] and [r.length for r in refused.collect()] == [100]
+    assert files.inventory(spark, str(tmp_path / "d"), without=r"/s\.txt$").count() == 1
+    df = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
+    assert [tuple(r)[1:] for r in files.write_valid(df, str(tmp_path / "o"), "k", {"v told": F.col("v").isNotNull()}).collect()] == [("2", "v told")]
+    assert not (tmp_path / "o").exists()
+    assert files.write_valid(df, str(tmp_path / "o"), "k", {"k told": F.col("k").isNotNull()}).isEmpty() and (tmp_path / "o").exists()
+    assert {tuple(r) for r in files.write_chunks(df, str(tmp_path / "c"), "k").collect()} == {(1, 1), (2, 1)}
+
+
+def test_broadcast_needs_few_rows_and_bytes(spark):
+    from tallyforge.operators.skew import broadcast_if_small
+
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    def hinted(d):
+        return "broadcast" in d._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(broadcast_if_small(df)) and not hinted(broadcast_if_small(df, max_rows=99)) and not hinted(broadcast_if_small(df, max_bytes=50_000))
+
+
+def test_forget(spark):
+    from tallyforge.session import forget
+
+    df = materialize(spark.range(5))
+    path = df.inputFiles()[0].removeprefix("file://")
+    import os
+
+    assert os.path.exists(path)
+    forget(spark)
+    assert not os.path.exists(path)
