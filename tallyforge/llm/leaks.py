@@ -68,22 +68,9 @@ def holds(item: np.ndarray, document: np.ndarray, shift: int, least: int = LEAST
     return bool((sums[least:] >= np.minimum.accumulate(sums[: len(sums) - least])).any())
 
 
-def leaked(a: np.ndarray, b: np.ndarray, places: list[tuple[list[int], list[int]]], least: int = LEAST_WORDS, tolerance: int = TOLERANCE) -> bool:
-    """Whether a document with words b holds a window of an item with words a, at a shift that some shared shingle proposes.
-
-    places: for each shared shingle its positions in the document and in the item. Shingles with the fewest shifts are
-    tried first, every shift once, up to the first that holds. Where a shingle repeats so often that its places outnumber the
-    shifts between them, all those shifts are tried.
-    """
-    tried: set[int] = set()
-    for at, i_at in sorted(places, key=lambda p: len(p[0]) * len(p[1])):
-        every = range(int(min(at)) - int(max(i_at)), int(max(at)) - int(min(i_at)) + 1)
-        for shift in every if len(at) * len(i_at) > len(every) else (int(d) - int(i) for i in i_at for d in at):
-            if shift not in tried:
-                tried.add(shift)
-                if holds(a, b, shift, least, tolerance):
-                    return True
-    return False
+def leaked(a: np.ndarray, b: np.ndarray, shifts: list[int], least: int = LEAST_WORDS, tolerance: int = TOLERANCE) -> bool:
+    """Whether a document with words b holds a window of an item with words a at one of the given shifts."""
+    return any(holds(a, b, int(shift), least, tolerance) for shift in shifts)
 
 
 def _filter(shingle_ids: DataFrame) -> np.ndarray:
@@ -203,30 +190,32 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = SHINGLE, least: int =
     lowest, highest = F.array_min("ats") - F.array_max("i_ats"), F.array_max("ats") - F.array_min("i_ats")
     shift = F.least(F.greatest(lowest, F.least(F.lit(0), F.col("n_words") - F.col("i_words"))), highest)
     room = F.least(F.col("i_words"), F.col("n_words") - shift) - F.greatest(F.lit(0), -shift)
+    # every shift between two places of a shingle; where it repeats so often that its pairs outnumber them, all shifts between the outermost
+    pairs = F.flatten(F.transform("ats", lambda d: F.transform("i_ats", lambda i: d - i)))
+    shifts = F.when(F.size("ats").cast("bigint") * F.size("i_ats") > highest - lowest + 1, F.sequence(lowest, highest)).otherwise(pairs)
     candidates = (
         found.select("doc_id", "n_words", F.inline("hits")).join(broadcast_if_small(prefixes), "h").where(room >= least)
-        .groupBy("item_id", "doc_id").agg(F.collect_list(F.struct("ats", "i_ats")).alias("places"))
+        .groupBy("item_id", "doc_id").agg(F.array_distinct(F.flatten(F.collect_list(shifts))).alias("shifts"))
     )
 
-    def by_hash(item: pd.Series, document: pd.Series, places: pd.Series) -> pd.Series:
-        rows = zip(item, document, places, strict=True)
-        return pd.Series([leaked(i, d, [(p["ats"], p["i_ats"]) for p in ps], least, tolerance) for i, d, ps in rows], dtype=bool)
+    def by_hash(item: pd.Series, document: pd.Series, shifts: pd.Series) -> pd.Series:
+        return pd.Series([leaked(i, d, x, least, tolerance) for i, d, x in zip(item, document, shifts, strict=True)], dtype=bool)
 
-    def by_word(item: pd.Series, document: pd.Series, places: pd.Series) -> pd.Series:
+    def by_word(item: pd.Series, document: pd.Series, shifts: pd.Series) -> pd.Series:
         out = []
-        for i, d, ps in zip(item, document, places, strict=True):
+        for i, d, x in zip(item, document, shifts, strict=True):
             number = {w: k for k, w in enumerate(i)}
-            a, b = (np.array([number.get(w, -1) for w in x]) for x in (i, d))
-            out.append(leaked(a, b, [(p["ats"], p["i_ats"]) for p in ps], least, tolerance))
+            a, b = (np.array([number.get(w, -1) for w in ws]) for ws in (i, d))
+            out.append(leaked(a, b, x, least, tolerance))
         return pd.Series(out, dtype=bool)
 
     # hashes of words sort out most candidates, the words themselves decide
     near = (
         candidates.join(found.select("doc_id", "dh"), "doc_id").join(broadcast_if_small(worded.select("item_id", "ih")), "item_id")
-        .where(F.pandas_udf(by_hash, "boolean")("ih", "dh", "places")).select("item_id", "doc_id", "places")
+        .where(F.pandas_udf(by_hash, "boolean")("ih", "dh", "shifts")).select("item_id", "doc_id", "shifts")
     )
     checked = (
         near.join(found.select("doc_id", "dw"), "doc_id").join(broadcast_if_small(worded.select("item_id", "iw")), "item_id")
-        .where(F.pandas_udf(by_word, "boolean")("iw", "dw", "places"))
+        .where(F.pandas_udf(by_word, "boolean")("iw", "dw", "shifts"))
     )
     return checked.select("item_id", "doc_id").distinct()
