@@ -18,4 +18,4 @@ def folders(tmp_path_factory):
 def test_edges(spark, folders, name, kind):
     df = REGISTRIES[name].queries[name](spark, folders[kind])
     rows = df.count()
-    assert kind == "odd" or rows == 0 or name in {"release_statistics", "verdict_domain_counts", "join_domain_counts", "feature_tri_state", "claims_against_statistics"}
+    assert kind == "odd" or rows == 0 or name in {"release_statistics", "verdict_domain_counts", "join_domain_counts", "feature_tri_state", "claims_against_statistics", "references_by_direction", "release_flags", "corpus_summary"}
