@@ -8,7 +8,7 @@ import time
 from tallyforge.session import forget, local_session
 
 HEADLINE = [
-    "release_statistics", "references_by_direction", "shape_faults", "issue_extracts", "quotes_by_overlap", "record_shape_violations", "listing_history", "rule_mentions", "first_fix_after_blocker",
+    "release_statistics", "evidence_links_one_sided", "references_by_direction", "shape_faults", "issue_extracts", "quotes_by_overlap", "record_shape_violations", "listing_history", "rule_mentions", "first_fix_after_blocker",
     "script_findings", "similarity_edges", "orders_with_lines", "order_chains", "p3_found", "p4_found",
     "p1_found", "p2_found", "p5_found", "p6_found", "p7_mixture", "p8_found",
 ]
