@@ -14,6 +14,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,7 +30,9 @@ COLUMNS = "array<struct<path:string, max_def:int, reps:array<int>, defs:array<in
 
 
 def _text(value) -> str:
-    s = value if isinstance(value, str) else json.dumps(value)
+    s = value if isinstance(value, str) else str(value) if type(value) is int else json.dumps(value)
+    if s.isascii():
+        return s
     try:
         s.encode()
     except UnicodeEncodeError:  # half of a surrogate pair from an escape
@@ -40,11 +44,14 @@ def _reject(name: str):
     raise ValueError(name)
 
 
+_JSON = json.JSONDecoder(parse_constant=_reject)
+
+
 def _unpack(value, name: str, single: frozenset, packed: frozenset):
     """A field's value: JSON text in a string read as what it holds, one object in place of an array as an array."""
     if name in packed and isinstance(value, str):
         try:
-            inner = json.loads(value, parse_constant=_reject)
+            inner = _JSON.decode(value)
         except (ValueError, RecursionError):
             inner = None
         if isinstance(inner, dict | list):
@@ -57,13 +64,17 @@ def shred_record(text: str | None, single: frozenset, packed: frozenset) -> list
     if not text:
         return []
     try:
-        record = json.loads(text, parse_constant=_reject)
+        record = _JSON.decode(text)
     except (ValueError, RecursionError):
         return []
     if not isinstance(record, dict):
         return []
     out: list[tuple] = []
 
+    def leaf(path: str, depth: int, entries: list[tuple], at: int) -> None:
+        plain = [None if v is _MISSING or v is None or isinstance(v, dict | list) else _text(v) for _, _, v in entries]
+        out.insert(at, (path, depth, [e[0] for e in entries], [e[1] for e in entries], plain))
+
     def walk(path: str, depth: int, lists: int, entries: list[tuple]) -> None:
         # entries: (repetition, definition, value) of every place where this path could stand
         element, before = path.endswith("[]"), len(out)
@@ -87,16 +98,36 @@ def shred_record(text: str | None, single: frozenset, packed: frozenset) -> list
                     below.append((r, d, _MISSING))
             walk(path + "[]", depth + 1, lists + 1, below)
         inner = len(out)
+        if len(entries) == 1 and objects:
+            r, d, v = entries[0]
+            for name, x in v.items():
+                x = None if x is None else _unpack(x, name, single, packed)
+                full = f"{path}.{_text(name)}" if path else _text(name)
+                if isinstance(x, dict | list) or (x is not None and full.endswith("[]")):
+                    walk(full, depth + 1 + element, lists, [(r, d + element + 1, x)])
+                elif x is not None:
+                    out.append((full, depth + 1 + element, [r], [d + element + 1], [_text(x)]))
+            names = {}
         for name in names:
-            below = []
+            special, nested, some, below = name in single or name in packed, False, False, []
             for r, d, v in entries:
-                x = _unpack(v[name], name, single, packed) if isinstance(v, dict) and name in v else None
+                x = v.get(name) if isinstance(v, dict) else None
+                if special and x is not None:
+                    x = _unpack(x, name, single, packed)
                 here = d + (element and isinstance(v, dict))
-                below.append((r, here, _MISSING) if x is None else (r, here + 1, x))
-            walk(f"{path}.{_text(name)}" if path else _text(name), depth + 1 + element, lists, below)
+                if x is None:
+                    below.append((r, here, _MISSING))
+                else:
+                    below.append((r, here + 1, x))
+                    some = True
+                    nested = nested or isinstance(x, dict | list)
+            full = f"{path}.{_text(name)}" if path else _text(name)
+            if nested or full.endswith("[]"):
+                walk(full, depth + 1 + element, lists, below)
+            elif some:  # plain values only
+                leaf(full, depth + 1 + element, below, len(out))
         if scalar:
-            plain = [None if v is _MISSING or v is None or isinstance(v, dict | list) else _text(v) for _, _, v in entries]
-            out.insert(before, (path, depth, [e[0] for e in entries], [e[1] for e in entries], plain))
+            leaf(path, depth, entries, before)
             inner += 1
         if element and objects and len(out) == inner:
             out.append((path + "{}", depth + 1, [e[0] for e in entries], [d + isinstance(v, dict) for _, d, v in entries], None))
@@ -105,6 +136,7 @@ def shred_record(text: str | None, single: frozenset, packed: frozenset) -> list
     return out
 
 
+@lru_cache(maxsize=4096)
 def levels(path: str) -> list[int]:
     """For each array of a path the definition level from which its element is an object."""
     level, out = 0, []
@@ -139,15 +171,18 @@ def slots(reps: Sequence[int], lists: int) -> Iterator[list[int]]:
 def record_elements(columns: Sequence) -> list[tuple[str, str, str, str]]:
     """(path, idx, parent path, parent idx) of every object in an array, from the level sequences of a record's columns."""
     found: dict[tuple[str, str], tuple[str, str]] = {}
+    told: set[tuple] = set()
     for c in columns:
         path = c["path"]
         lists = path.count("[]")
         if not lists:
             continue
-        need = levels(path)
-        ends = [m.end() for m in re.finditer(r"\[\]", path)]
-        plain = [path[:e].replace("[]", "") for e in ends]
-        up = ["", *plain[:-1]]
+        need, plain, up = _arrays(path)
+        top = max(need)
+        same = (plain[-1], tuple(c["reps"]), tuple([min(d, top) for d in c["defs"]]))
+        if same in told:  # a leaf beside one that has told the same elements
+            continue
+        told.add(same)
         for d, at in zip(c["defs"], slots(c["reps"], lists), strict=True):
             for k in range(lists):
                 if d >= need[k]:
@@ -157,6 +192,14 @@ def record_elements(columns: Sequence) -> list[tuple[str, str, str, str]]:
     return [(*key, *parent) for key, parent in found.items()]
 
 
+@lru_cache(maxsize=4096)
+def _arrays(path: str) -> tuple[list[int], list[str], list[str]]:
+    """levels, and for each array of a path its name and that of the array around it."""
+    ends = [m.end() for m in re.finditer(r"\[\]", path)]
+    plain = [path[:e].replace("[]", "") for e in ends]
+    return levels(path), plain, ["", *plain[:-1]]
+
+
 def record_table(columns: Sequence, path: str, fields: Sequence[str]) -> list[tuple[str, str, list]]:
     """(idx, parent idx, values) of every element of the array path, given with its `[]`. A field that is a plain array gives JSON text."""
     plain, lists = path.replace("[]", ""), path.count("[]")
@@ -222,19 +265,44 @@ def _each(kind: str, f, *args) -> Column:
     return F.pandas_udf(each, f"array<struct<{kind}>>")(F.col("columns"))
 
 
+@dataclass(frozen=True)
+class Records:
+    """Records that are shredded and rebuilt in one batch, where a row's columns are needed for nothing else."""
+
+    df: DataFrame
+    column: str
+    single: Sequence[str] = ()
+    packed: Sequence[str] = ()
+
+    def rows(self, ids: list[str], kind: str, f, *args) -> DataFrame:
+        one, text = frozenset(self.single), frozenset(self.packed)
+
+        def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield pd.Series([f([dict(zip(_FIELDS, c, strict=True)) for c in shred_record(x, one, text)], *args) for x in batch], dtype=object)
+
+        rebuilt = F.pandas_udf(each, f"array<struct<{kind}>>")(F.col(self.column))
+        return spread(self.df.where(F.col(self.column).isNotNull()).select(*ids, self.column)).select(*ids, F.inline(rebuilt))
+
+
+def _rows(columns: DataFrame | Records, ids: list[str], kind: str, f, *args) -> DataFrame:
+    """ids and the rows that f makes of the columns of each record."""
+    return columns.rows(ids, kind, f, *args) if isinstance(columns, Records) else columns.select(*ids, F.inline(_each(kind, f, *args)))
+
+
 _LINK = "path:string, idx:string, parent_path:string, parent_idx:string"
 
 
-def elements(columns: DataFrame, ids: list[str]) -> DataFrame:
+def elements(columns: DataFrame | Records, ids: list[str]) -> DataFrame:
     """One row per object in an array: ids, path, idx, parent_path, parent_idx.
 
     path has the field names joined by `.`, idx the positions in every array on the way joined by `/`. The parent is the
     array element around it; objects in top-level arrays have the record itself as parent: parent_path and parent_idx ''.
     """
-    return columns.select(*ids, F.inline(_each(_LINK, record_elements)))
+    return _rows(columns, ids, _LINK, record_elements)
 
 
-def child_values(columns: DataFrame, ids: list[str]) -> DataFrame:
+def child_values(columns: DataFrame | Records, ids: list[str]) -> DataFrame:
     """Every child of every kind with all its values, one a row: ids, path, idx, parent_path, parent_idx, field, pos, value.
 
     Each array element has one row without field, and one more for each plain value below it that lies in no element of a
@@ -243,13 +311,13 @@ def child_values(columns: DataFrame, ids: list[str]) -> DataFrame:
     def rows(c: Sequence) -> list[tuple]:
         return [(*x, None, None, None) for x in record_elements(c)] + record_values(c)
 
-    return columns.select(*ids, F.inline(_each(_LINK + ", field:string, pos:string, value:string", rows)))
+    return _rows(columns, ids, _LINK + ", field:string, pos:string, value:string", rows)
 
 
-def child_table(columns: DataFrame, ids: list[str], path: str, fields: Sequence[str]) -> DataFrame:
+def child_table(columns: DataFrame | Records, ids: list[str], path: str, fields: Sequence[str]) -> DataFrame:
     """The flat table of one repeated ancestor, given with its `[]`: ids, idx, parent_idx and the fields as strings.
 
     Fields are paths below the ancestor; absent ones are null, and plain arrays are JSON text.
     """
-    rows = columns.select(*ids, F.inline(_each("idx:string, parent_idx:string, vals:array<string>", record_table, path, list(fields))))
+    rows = _rows(columns, ids, "idx:string, parent_idx:string, vals:array<string>", record_table, path, list(fields))
     return rows.select(*ids, "idx", "parent_idx", *[F.get("vals", F.lit(i)).alias(f.replace(".", "_")) for i, f in enumerate(fields)])

@@ -83,28 +83,29 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _nested(records: DataFrame) -> shredding.Records:
+    return shredding.Records(records, "raw_json", ARRAYS, PACKED)
+
+
 IDS = ["src", "row_id"]
 
 
 @R.add()
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every object that is an element of an array in raw_json."""
-    columns = shredding.shred(_records(spark, folder), IDS, "raw_json", ARRAYS, PACKED)
-    return shredding.elements(columns, IDS).select(*IDS, "path", "idx").distinct()
+    return shredding.elements(_nested(_records(spark, folder)), IDS).select(*IDS, "path", "idx").distinct()
 
 
 @R.add()
 def p4_links(spark: SparkSession, folder: str) -> DataFrame:
     """Every array element with its parent element."""
-    columns = shredding.shred(_records(spark, folder), IDS, "raw_json", ARRAYS, PACKED)
-    return shredding.elements(columns, IDS).distinct()
+    return shredding.elements(_nested(_records(spark, folder)), IDS).distinct()
 
 
 @R.add()
 def p4_children(spark: SparkSession, folder: str) -> DataFrame:
     """All flat tables in one: every array element of issues and comments with its parent and all its values."""
-    columns = shredding.shred(_records(spark, folder), IDS, "raw_json", ARRAYS, PACKED)
-    return shredding.child_values(columns, IDS).distinct()
+    return shredding.child_values(_nested(_records(spark, folder)), IDS).distinct()
 
 
 # The kinds of children, with the table, array and fields of each.
@@ -127,8 +128,7 @@ def _flat(kind: str):
     src, path, fields = KINDS[kind]
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        columns = shredding.shred(_records(spark, folder).where(F.col("src") == src), IDS, "raw_json", ARRAYS, PACKED)
-        return shredding.child_table(columns, IDS, path, fields).distinct()
+        return shredding.child_table(_nested(_records(spark, folder).where(F.col("src") == src)), IDS, path, fields).distinct()
 
     query.__name__, query.__doc__ = f"p4_{kind}", f"The flat table of {path} of {src}, each row with the place of its parent."
     return query
