@@ -123,6 +123,15 @@ def ambiguous_events(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "n")
 
 
+@R.add("""
+with s as (select event_type, date_trunc('second', ts) t, count(*) n from events group by 1, 2)
+select a.event_type, epoch_us(a.t) ts_us, cast(sum(b.n) as bigint) n from s a join s b on a.event_type = b.event_type and b.t between a.t - interval 30 second and a.t group by 1, 2 having sum(b.n) > 1""")
+def busy_moments(spark: SparkSession, folder: str) -> DataFrame:
+    """Moments with more than one event of a type within half a minute."""
+    found = timeline.ambiguous_moments(load(spark, folder, "events").select("event_type", "ts"), "event_type", "ts", 30)
+    return found.select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "n")
+
+
 @R.add("select event_id, event_type, lag(event_type) over w before, epoch_us(lag(ts) over w) before_us from events window w as (partition by user_id order by ts, event_id)")
 def previous_events(spark: SparkSession, folder: str) -> DataFrame:
     """Every event with the one before it of the same user."""
@@ -157,16 +166,23 @@ def order_chains(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @R.add("""
-select o_orderkey, count(l_orderkey) n_lines, coalesce(string_agg(cast(l_linenumber as varchar), ' ' order by l_linenumber), '') line_numbers, cast(coalesce(sum(cast(l_extendedprice as decimal(14,2)) * (1 - cast(l_discount as decimal(4,2)))), 0) as double) revenue
+select o_orderkey, count(l_orderkey) n_lines, min(l_linenumber) first_line, max(l_linenumber) last_line, cast(coalesce(sum(cast(l_extendedprice as decimal(14,2)) * (1 - cast(l_discount as decimal(4,2)))), 0) as double) revenue
 from orders left join lineitem on o_orderkey = l_orderkey group by 1""")
 def orders_with_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Every order with its line items nested: their number, line numbers in order and revenue. Lines are added up before the join."""
+    """Every order with the number, first, last and revenue of its line items. Lines are added up before the join."""
     l = load(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("l_linenumber")), lambda x: x.cast("string")), " ").alias("numbers"),
+        F.count("*").alias("n"), F.min("l_linenumber").alias("first_line"), F.max("l_linenumber").alias("last_line"),
         F.sum(F.col("l_extendedprice").cast("decimal(14,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("double").alias("r"),
     )
     o = load(spark, folder, "orders").select("o_orderkey")
-    return o.join(l, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce("numbers", F.lit("")).alias("line_numbers"), F.coalesce("r", F.lit(0.0)).alias("revenue"))
+    return o.join(l, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_lines"), "first_line", "last_line", F.coalesce("r", F.lit(0.0)).alias("revenue"))
+
+
+@R.add("select l_orderkey, l_linenumber, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1 place from lineitem where l_orderkey is not null")
+def lines_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line item with its place in its order: the lines of an order as rows, so an order of any size is spread."""
+    l = load(spark, folder, "lineitem").where("l_orderkey is not null").select("l_orderkey", "l_linenumber", "l_partkey", F.floor(F.col("l_linenumber") / 10_000).alias("b"))
+    return skew.bucketed_sequence(l, "l_orderkey", "b", ["l_linenumber", "l_partkey"], "place").drop("b")
 
 
 @R.add(f"""

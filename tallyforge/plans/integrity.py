@@ -329,3 +329,42 @@ def order_time_faults(spark: SparkSession, folder: str) -> DataFrame:
     numbered = skew.bucketed_sequence(o, "o_custkey", "b", ["o_orderkey"], "pos")
     before = numbered.select("o_custkey", (F.col("pos") + 1).alias("pos"), F.col("o_orderdate").alias("before"))
     return numbered.join(before, ["o_custkey", "pos"]).where("o_orderdate < before").select("o_orderkey", "pos")
+
+
+_SOURCE_RECORDS = _edges_sql("sources", "source_id", "record_ids")
+
+
+@R.add(f"select ref_id b, count(distinct child_id) n_parents from ({_SOURCE_RECORDS}) group by 1 having count(distinct child_id) > 1")
+def records_of_several_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Plugin records that more than one source names."""
+    return quality.several_parents(_edges(spark, folder, "sources", "source_id", "record_ids").select(F.col("child_id").alias("a"), F.col("ref_id").alias("b")))
+
+
+@R.add("""
+with p as (select distinct plugin_id a, record_id b from plugins where plugin_id is not null and record_id is not null)
+select 'a' side, a as value, count(*) n from p group by 2 having count(*) > 1 union all select 'b', b, count(*) from p group by 2 having count(*) > 1""")
+def plugin_ids_not_bijective(spark: SparkSession, folder: str) -> DataFrame:
+    """Plugin ids with several records and records with several plugin ids."""
+    return quality.not_bijective(load(spark, folder, "plugins"), "plugin_id", "record_id")
+
+
+@R.add(f"""
+with l as (select distinct {_KEY.format('record_id')} v from corrections), r as (select distinct {_KEY.format('record_id')} v from plugins)
+select v as value, 'left' side from l where v is not null and v not in (select v from r where v is not null)
+union all select v, 'right' from r where v is not null and v not in (select v from l where v is not null)""")
+def corrected_records_difference(spark: SparkSession, folder: str) -> DataFrame:
+    """Record ids that only corrections or only plugin records know: corrections of nothing, and records without a correction."""
+    sides = [load(spark, folder, t).select(plain_key(F.col("record_id"))) for t in ("corrections", "plugins")]
+    return quality.set_difference(*sides)
+
+
+@R.add(f"""
+with c as (select c.child_id, c.ref_id, r.ref_id record_id from ({_CORRECTION_EVIDENCE}) c join ({_edges_sql("corrections", "correction_id", "record_id")}) r using (child_id))
+select c.child_id correction_id, c.ref_id evidence_id, c.record_id, e.ref_id evidence_record from c join ({_edges_sql("evidence", "evidence_id", "record_id")}) e on e.child_id = c.ref_id where e.ref_id <> c.record_id""")
+def evidence_of_other_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence that a correction names although it belongs to another record than the corrected one. Hot evidence is split by the lookup."""
+    named = _edges(spark, folder, "corrections", "correction_id", "evidence_ids").withColumnRenamed("ref_id", "evidence_id")
+    corrected = _edges(spark, folder, "corrections", "correction_id", "record_id").withColumnRenamed("ref_id", "record_id")
+    owner = _edges(spark, folder, "evidence", "evidence_id", "record_id").select(F.col("child_id").alias("evidence_id"), F.col("ref_id").alias("evidence_record"))
+    pairs = named.join(corrected, "child_id").withColumnRenamed("child_id", "correction_id")
+    return skew.lookup_join(pairs, owner, "evidence_id", "inner").where("evidence_record <> record_id").select("correction_id", "evidence_id", "record_id", "evidence_record")

@@ -237,3 +237,29 @@ def place_in_cluster(spark: SparkSession, folder: str) -> DataFrame:
     p = load(spark, folder, "part").select("p_partkey", "p_size", "p_type")
     kind = similarity.best_cluster(F.col("p_type"), F.lit(""), {"brass": ["brass"], "steel": ["steel"]})
     return skew.bucketed_sequence(p.select("p_partkey", kind.alias("cluster"), (-F.col("p_size")).alias("b")), "cluster", "b", ["p_partkey"], "place").select("cluster", "p_partkey", "place")
+
+
+@R.add(rf"select id, regexp_replace(body, '^[\t-\r\p{{Z}}\x{{FEFF}}]+|[\t-\r\p{{Z}}\x{{FEFF}}]+$', '', 'g') body from {_COMMENTS} where body <> regexp_replace(body, '^[\t-\r\p{{Z}}\x{{FEFF}}]+|[\t-\r\p{{Z}}\x{{FEFF}}]+$', '', 'g')")
+def untidy_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Comments with white space at either end, without it."""
+    c = _comments(spark, folder, "body")
+    return c.withColumn("t", T.full_trim(F.col("body"))).where("t <> body").select("id", F.col("t").alias("body"))
+
+
+_FENCED = r"(?s)(?:^|\n)(```[a-z]*[ \t]*\n.*?\n```)"
+
+
+@R.add(rf"""
+with f as (select id, unnest(regexp_extract_all(body, '{_FENCED}', 1)) block, generate_subscripts(regexp_extract_all(body, '{_FENCED}', 1), 1) - 1 place from {_COMMENTS} where contains(body, '```'))
+select id, place, regexp_replace(block, '(?s)^```[a-z]*\s*\n(.*?)\n?```$', '\1') code from f""")
+def fenced_code(spark: SparkSession, folder: str) -> DataFrame:
+    """The code in every fenced block of a comment, without its fence."""
+    blocks = F.regexp_extract_all("body", F.lit(_FENCED), F.lit(1))
+    c = _comments(spark, folder, "body").where(F.col("body").contains("```")).select("id", F.posexplode(blocks).alias("place", "block"))
+    return c.select("id", "place", T.unfenced(F.col("block")).alias("code"))
+
+
+@R.add(f"select number, array_to_string(list_transform(string_split(title, '/'), lambda x: url_encode(x)), '/') path from {_ISSUES} where title is not null")
+def title_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles as paths of a URL, every segment percent-encoded."""
+    return _issues(spark, folder, "title").where("title is not null").select("number", T.path_segments(F.col("title")).alias("path"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import quality, stats, timeline
+from tallyforge.operators import quality, skew, stats, timeline
 from tallyforge.operators.timeline import latest
 from tallyforge.plans.registry import Registry
 from tallyforge.sources import load
@@ -198,16 +198,21 @@ def record_shape_violations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @R.add(f"""
-with c as (select record_id, list_sort(list(distinct correction_id)) ids from corrections where record_id is not null group by 1)
-select p.record_id, case when c.ids is null then 'historical' else 'corrected' end status, coalesce(array_to_string(c.ids, ' '), '') correction_ids
-from {_PLUGINS} p left join c using (record_id)""")
+with c as (select distinct record_id, correction_id from corrections where record_id is not null and correction_id is not null), n as (select record_id, count(*) n from c group by 1)
+select p.record_id, case when n is null then 'historical' else 'corrected' end status, coalesce(n, 0) n_corrections, c.correction_id
+from {_PLUGINS} p left join n using (record_id) left join c using (record_id)""")
 def review_columns(spark: SparkSession, folder: str) -> DataFrame:
-    """Plugin records with their sorted corrections and the review status that follows."""
-    c = load(spark, folder, "corrections").where("record_id is not null").groupBy("record_id").agg(F.sort_array(F.collect_set("correction_id")).alias("ids"))
+    """Plugin records with the review status that follows from their corrections, one row a correction; records without one have one row.
+
+    A record with a third of all corrections is split by the lookup.
+    """
+    c = load(spark, folder, "corrections").where("record_id is not null and correction_id is not null").select("record_id", "correction_id").distinct()
     p = load(spark, folder, "plugins").select("record_id").where("record_id is not null").distinct()
-    return p.join(c, "record_id", "left").select(
-        "record_id", F.when(F.col("ids").isNull(), "historical").otherwise("corrected").alias("status"), F.coalesce(F.array_join("ids", " "), F.lit("")).alias("correction_ids")
+    state = p.join(c.groupBy("record_id").agg(F.count("*").alias("n")), "record_id", "left").select(
+        "record_id", F.when(F.col("n").isNull(), "historical").otherwise("corrected").alias("status"), F.coalesce("n", F.lit(0)).alias("n_corrections")
     )
+    told = skew.lookup_join(c, state, "record_id", "inner")
+    return told.unionByName(state.where("n_corrections = 0"), allowMissingColumns=True).select("record_id", "status", "n_corrections", "correction_id")
 
 
 @R.add("""
