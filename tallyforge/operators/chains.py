@@ -17,24 +17,26 @@ def faults(edges: DataFrame) -> DataFrame:
 
 
 def positions(edges: DataFrame) -> DataFrame:
-    """node, root, depth for every node of chains without faults; nodes on a cycle have a null root and depth.
+    """node, root, depth for every node of chains without faults; nodes on or behind a cycle have a null root and depth.
 
-    Pointer doubling: each round doubles the distance that a node's pointer spans, so chains of length n take log2 n
-    equi-joins. Each round is written to the shared folder.
+    Pointer doubling: each round doubles the distance that the pointers of unsettled nodes span, so chains of length n take
+    log2 n equi-joins. A node is settled when its pointer meets a settled one; only unsettled nodes are joined again, and no
+    two of them in a chain point to the same node, so a long chain makes no hot key. A round that settles nothing leaves
+    cycles only. Each round is written to the shared folder.
     """
     back = edges.where("src is not null and dst is not null").select(F.col("dst").alias("node"), F.col("src").alias("up")).distinct()
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).where("node is not null").distinct()
-    state = materialize(nodes.join(back, "node", "left").withColumn("steps", F.when(F.col("up").isNotNull(), 1).otherwise(0)).withColumn("up", F.coalesce("up", "node")))
-    total = state.count()  # of a written table: read from its footers
-    span = 1
-    while span <= total:
-        jump = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"))
-        state = materialize(state.join(jump, "up").select("node", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("_up") != F.col("up")).alias("moved")))
-        span *= 2
-        if state.where("moved").isEmpty():
+    start = materialize(nodes.join(back, "node", "left"))
+    settled = start.where("up is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"))
+    active = start.where("up is not null").select("node", "up", F.lit(1).alias("steps"))
+    while True:
+        known = settled.toDF("up", "_to", "_n").withColumn("_met", F.lit(True)).unionByName(active.toDF("up", "_to", "_n").withColumn("_met", F.lit(False)))
+        moved = materialize(active.join(known, "up").select("node", F.col("_to").alias("up"), (F.col("steps") + F.col("_n")).alias("steps"), "_met"))
+        some, all_ = moved.agg(F.bool_or("_met"), F.bool_and("_met")).first()
+        if not some:
             break
-    state = state.select("node", "up", "steps")
-    roots = nodes.join(back.select("node"), "node", "left_anti").select(F.col("node").alias("up"), F.lit(True).alias("_root"))
-    return state.join(roots, "up", "left").select(
-        "node", F.when(F.col("_root"), F.col("up")).alias("root"), F.when(F.col("_root"), F.col("steps")).alias("depth")
-    )
+        settled = settled.unionByName(moved.where("_met").select("node", F.col("up").alias("root"), F.col("steps").alias("depth")))
+        active = moved.where("not _met").drop("_met")
+        if all_:
+            break
+    return settled.unionByName(active.select("node"), allowMissingColumns=True)

@@ -14,11 +14,14 @@ def duplicate_keys(df: DataFrame, key: str, ignoring: Sequence[str] = ()) -> Dat
     return df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n_rows"), F.count_distinct(content).alias("n_versions")).where("n_rows > 1")
 
 
-def one_sided_edges(forward: DataFrame, backward: DataFrame) -> DataFrame:
-    """a, b, side of links that only one side tells: `forward` or `backward`. Both sides have columns a and b; repeats count once."""
-    both = forward.select("a", "b", F.lit(1).alias("f"), F.lit(0).alias("r")).unionByName(backward.select("a", "b", F.lit(0).alias("f"), F.lit(1).alias("r")))
-    sides = both.where("a is not null and b is not null").groupBy("a", "b").agg(F.max("f").alias("f"), F.max("r").alias("r"))
-    return sides.where("f + r = 1").select("a", "b", F.when(F.col("f") == 1, "forward").otherwise("backward").alias("side"))
+def one_sided_edges(forward: DataFrame, backward: DataFrame, kinds: Sequence[str] = ()) -> DataFrame:
+    """a, b, side of links that only one side tells: `forward` or `backward`. Both sides have columns a and b; repeats count once.
+
+    Links of several kinds, told apart by the columns of kinds, which come first in the result, share one shuffle.
+    """
+    both = forward.select(*kinds, "a", "b", F.lit(1).alias("f"), F.lit(0).alias("r")).unionByName(backward.select(*kinds, "a", "b", F.lit(0).alias("f"), F.lit(1).alias("r")))
+    sides = both.where("a is not null and b is not null").groupBy(*kinds, "a", "b").agg(F.max("f").alias("f"), F.max("r").alias("r"))
+    return sides.where("f + r = 1").select(*kinds, "a", "b", F.when(F.col("f") == 1, "forward").otherwise("backward").alias("side"))
 
 
 def several_parents(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +31,21 @@ DIRECTIONS = [
 _KEY = r"nullif(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '')"
 
 
-def _edges(spark: SparkSession, folder: str, child: str, key: str, field: str) -> DataFrame:
-    """child_id, ref_id of every distinct reference of one direction, keys trimmed and in lower case."""
+def _references(spark: SparkSession, folder: str, child: str, key: str, field: str) -> DataFrame:
+    """child_id, ref_id of every reference of one direction, keys trimmed and in lower case."""
     df = load(spark, folder, child)
     many = field.endswith("_ids")
     named = df.select(plain_key(F.col(key)).alias("child_id"), (F.explode(field) if many else F.col(field)).alias("r"))
-    return named.select("child_id", plain_key(F.col("r")).alias("ref_id")).where("child_id is not null and ref_id is not null").distinct()
+    return named.select("child_id", plain_key(F.col("r")).alias("ref_id")).where("child_id is not null and ref_id is not null")
+
+
+def _edges(spark: SparkSession, folder: str, child: str, key: str, field: str) -> DataFrame:
+    """The distinct references of one direction."""
+    return _references(spark, folder, child, key, field).distinct()
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _edges_sql(child: str, key: str, field: str) -> str:
@@ -46,17 +57,22 @@ def _edges_sql(child: str, key: str, field: str) -> str:
 select '{c}' child_table, '{f}' field, '{p}' parent_table, count(*) n_references, count(distinct ref_id) n_targets, count_if(k is null) n_dangling
 from ({_edges_sql(c, ck, f)}) left join (select distinct {_KEY.format(pk)} k from {p}) on k = ref_id""" for c, ck, f, p, pk in DIRECTIONS))
 def references_by_direction(spark: SparkSession, folder: str) -> DataFrame:
-    """Per direction of the foreign keys its references, their targets and those without a target. Hot targets are split by the lookup."""
-    out = None
-    for child, key, field, parent, parent_key in DIRECTIONS:
-        known = load(spark, folder, parent).select(plain_key(F.col(parent_key)).alias("ref_id")).where("ref_id is not null").distinct()
-        per = _edges(spark, folder, child, key, field).groupBy("ref_id").agg(F.count("*").alias("n"))
-        found = per.join(known.withColumn("_known", F.lit(True)), "ref_id", "left").agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n_references"), F.count("*").alias("n_targets"), F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("n"))), F.lit(0)).alias("n_dangling")
-        )
-        part = found.select(F.lit(child).alias("child_table"), F.lit(field).alias("field"), F.lit(parent).alias("parent_table"), "n_references", "n_targets", "n_dangling")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Per direction of the foreign keys its references, their targets and those without a target.
+
+    The references of all directions are folded in one shuffle to one row a direction and target, so no hot target is left when they meet the keys.
+    """
+    edges = _union([
+        _references(spark, folder, child, key, field).select(F.lit(i).alias("direction"), F.lit(parent).alias("parent_table"), "child_id", "ref_id")
+        for i, (child, key, field, parent, _) in enumerate(DIRECTIONS)
+    ]).distinct()
+    keys = {(parent, key) for *_, parent, key in DIRECTIONS}
+    known = _union([load(spark, folder, t).select(F.lit(t).alias("parent_table"), plain_key(F.col(k)).alias("ref_id")).where("ref_id is not null") for t, k in sorted(keys)]).distinct()
+    per = edges.groupBy("direction", "parent_table", "ref_id").agg(F.count("*").alias("n"))
+    counts = per.join(known.withColumn("_known", F.lit(True)), ["parent_table", "ref_id"], "left").groupBy("direction").agg(
+        F.sum("n").alias("n_references"), F.count("*").alias("n_targets"), F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("n"))), F.lit(0)).alias("n_dangling")
+    )
+    names = spark.createDataFrame([(i, c, f, p) for i, (c, _, f, p, _) in enumerate(DIRECTIONS)], "direction int, child_table string, field string, parent_table string")
+    return names.join(counts, "direction", "left").drop("direction").fillna(0)
 
 
 #: Pairs of directions that must tell the same links.
@@ -68,14 +84,11 @@ select '{DIRECTIONS[i][0]}-{DIRECTIONS[i][3]}' pair, coalesce(f.a, b.a) a, coale
 from (select child_id a, ref_id b from ({_edges_sql(*DIRECTIONS[i][:3])})) f full join (select ref_id a, child_id b from ({_edges_sql(*DIRECTIONS[j][:3])})) b on f.a = b.a and f.b = b.b
 where f.a is null or b.a is null""" for i, j in PAIRS))
 def links_one_sided(spark: SparkSession, folder: str) -> DataFrame:
-    """Links of the four pairs of tables that name each other which only one side tells."""
-    out = None
-    for i, j in PAIRS:
-        forward = _edges(spark, folder, *DIRECTIONS[i][:3]).select(F.col("child_id").alias("a"), F.col("ref_id").alias("b"))
-        backward = _edges(spark, folder, *DIRECTIONS[j][:3]).select(F.col("ref_id").alias("a"), F.col("child_id").alias("b"))
-        part = quality.one_sided_edges(forward, backward).select(F.lit(f"{DIRECTIONS[i][0]}-{DIRECTIONS[i][3]}").alias("pair"), "a", "b", "side")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Links of the four pairs of tables that name each other which only one side tells, all pairs in one shuffle."""
+    name = [F.lit(f"{DIRECTIONS[i][0]}-{DIRECTIONS[i][3]}").alias("pair") for i, _ in PAIRS]
+    forward = _union([_references(spark, folder, *DIRECTIONS[i][:3]).select(n, F.col("child_id").alias("a"), F.col("ref_id").alias("b")) for n, (i, _) in zip(name, PAIRS, strict=True)])
+    backward = _union([_references(spark, folder, *DIRECTIONS[j][:3]).select(n, F.col("ref_id").alias("a"), F.col("child_id").alias("b")) for n, (_, j) in zip(name, PAIRS, strict=True)])
+    return quality.one_sided_edges(forward, backward, ["pair"])
 
 
 _CORRECTION_EVIDENCE = _edges_sql("corrections", "correction_id", "evidence_ids")

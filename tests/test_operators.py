@@ -147,6 +147,22 @@ def test_rules(spark):
     assert [tuple(r) for r in top] == [("privilege", 199, " ".join(f"{i}:1" for i in range(1, 9)))]
 
 
+def test_long_chains_and_cycles(spark):
+    """A chain of 40, a cycle of three with a tail behind it, repeated and null edges, and no edges at all."""
+    rows = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (102, 103)] + [(0, 1), (None, 7), (7, None)]
+    edges = spark.createDataFrame(rows, "src int, dst int")
+    got = {r.node: (r.root, r.depth) for r in chains.positions(edges).collect()}
+    assert got == {i: (0, i) for i in range(41)} | {i: (None, None) for i in range(100, 104)} | {7: (0, 7)}
+    assert chains.positions(edges.limit(0)).count() == 0
+
+
+def test_one_sided_edges_of_kinds(spark):
+    columns = "kind string, a int, b int"
+    forward = spark.createDataFrame([("x", 1, 2), ("x", 1, 2), ("y", 1, 2), ("x", None, 2)], columns)
+    backward = spark.createDataFrame([("x", 1, 2), ("y", 3, 4)], columns)
+    assert rowset(quality.one_sided_edges(forward, backward, ["kind"])) == {("y", 1, 2, "forward"), ("y", 3, 4, "backward")}
+
+
 def test_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, None)], "src int, dst int")
     got = {r.node: (r.root, r.depth) for r in chains.positions(edges).collect()}
