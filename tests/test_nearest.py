@@ -32,7 +32,7 @@ def many_parts(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["nodes_with_neighbours", "similar_parts", "similarity_degree", "part_influence", "similar_parts_by_cluster"])
+@pytest.mark.parametrize("name", ["nodes_with_neighbours", "similar_parts", "similarity_degree", "part_influence", "similar_parts_by_cluster", "similarity_edges"])
 def test_pairs_are_not_written(spark, many_parts, name):
     before = _written(spark)
     check(spark, catalog.R, name, many_parts)
