@@ -87,7 +87,7 @@ def parts_of_all_kinds(spark, tmp_path_factory):
 MOST_A_PART = 110
 
 
-@pytest.mark.parametrize("name", ["similar_parts"])
+@pytest.mark.parametrize("name", ["similar_parts", "part_influence"])
 def test_disk_of_a_part(spark, parts_of_all_kinds, name):
     """Parts without a size have no tokens in SQL."""
     forget(spark)
@@ -117,3 +117,9 @@ def test_whole_texts_without_rows(spark):
     assert similarity.similar_texts(docs, "k", "ts", "asked").isEmpty()
     lone = spark.createDataFrame([(1, [], True), (2, None, True)], docs.schema)
     assert similarity.similar_texts(lone, "k", "ts", "asked").isEmpty()
+
+
+def test_influence_of_many_classes(spark, monkeypatch, parts_of_all_kinds):
+    """Classes with an edge that are too many for a broadcast are joined by a shuffle."""
+    monkeypatch.setattr(catalog.skew, "broadcast_if_small", lambda df: df)
+    check(spark, catalog.R, "part_influence", parts_of_all_kinds)
