@@ -87,7 +87,7 @@ def parts_of_all_kinds(spark, tmp_path_factory):
 MOST_A_PART = 110
 
 
-@pytest.mark.parametrize("name", ["similar_parts", "part_influence", "similar_parts_by_cluster"])
+@pytest.mark.parametrize("name", ["similar_parts", "part_influence", "similar_parts_by_cluster", "similarity_edges"])
 def test_disk_of_a_part(spark, parts_of_all_kinds, name):
     """Parts without a size have no tokens in SQL."""
     forget(spark)
